@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, warc
 from .common import table
 
 
@@ -13,13 +13,19 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), max_epochs=3, seed=42, cycle=3)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def queries() -> dict:
     return {
+        "op9_warc": op9_warc,
         "op3_mixing": op3_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_warc": warc.WARC_SQL,
         "op3_mixing": mixing.MIX_SQL.format(docs="documents"),
     }
