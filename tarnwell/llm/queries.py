@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, warc
+from . import bpe, mixing, warc
 from .common import table
 
+#: The vocabulary file that the registered queries use.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), max_epochs=3, seed=42, cycle=3)
@@ -17,8 +20,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return {
+        "op10_byte_bpe": op10_byte_bpe,
         "op9_warc": op9_warc,
         "op3_mixing": op3_mixing,
     }
