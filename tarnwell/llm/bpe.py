@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces that a worker remembers from earlier blocks.
 KNOWN_PIECES = 200_000
@@ -220,7 +221,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), lists], schema=kept)
                 at += len(ids)
 
-    return slim.mapInArrow(encoded, slim.select("doc_id").schema.add("ids", "array<int>"))
+    return slim.mapInArrow(encoded, slim.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
