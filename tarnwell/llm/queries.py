@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, warc
+from . import bpe, mixing, quality, toxicity, warc
 from .common import table
 
 #: The vocabulary file that the registered queries use.
@@ -26,8 +26,39 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def held_out() -> Column:
+    """Rows whose labels no model sees."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()), rows=20_000)
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted")
+    )
+
+
+def toxic_chain() -> dict[str, Column]:
+    """The categories that the labels have, in the order of the chain; the last one decides."""
+    return {"disruptive": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()), toxic_chain(), rows=24_000)
+    return toxicity.score(docs.select("doc_id", "text"), chain).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        *[F.col("_p")[k].alias(f"p_{c}") for k, c in enumerate(chain.categories)],
+        F.col("_rejected").cast("int").alias("toxic"),
+    )
+
+
 def queries() -> dict:
     return {
+        "op4_quality": op4_quality,
+        "op6_toxicity": op6_toxicity,
         "op10_byte_bpe": op10_byte_bpe,
         "op9_warc": op9_warc,
         "op3_mixing": op3_mixing,
