@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, toxicity, warc
+from . import bpe, mixing, quality, simhash, toxicity, warc
 from .common import table
 
 #: The vocabulary file that the registered queries use.
@@ -55,8 +55,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4).select(
+        "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 def queries() -> dict:
     return {
+        "op1_simhash": op1_simhash,
         "op4_quality": op4_quality,
         "op6_toxicity": op6_toxicity,
         "op10_byte_bpe": op10_byte_bpe,
