@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, toxicity, warc
+from . import bpe, mixing, quality, simhash, substring, toxicity, warc
 from .common import table
 
 #: The vocabulary file that the registered queries use.
@@ -61,8 +61,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup(docs, window=13).select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_removed").alias("n_removed"),
+        F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
+        "op2_substring": op2_substring,
         "op1_simhash": op1_simhash,
         "op4_quality": op4_quality,
         "op6_toxicity": op6_toxicity,
@@ -74,6 +85,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring": substring.SUBSTRING_SQL,
         "op9_warc": warc.WARC_SQL,
         "op3_mixing": mixing.MIX_SQL.format(docs="documents"),
     }
