@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, substring, toxicity, warc
+from . import ann, bpe, mixing, quality, simhash, substring, topk, toxicity, urls, warc
 from .common import table
 
 #: The vocabulary file that the registered queries use.
@@ -71,8 +71,34 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Verdict, host and path of the fixed rules.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES, bad)
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def queries() -> dict:
     return {
+        "op5_urls": op5_urls,
+        "op7_topk": op7_topk,
+        "op8_ann": op8_ann,
         "op2_substring": op2_substring,
         "op1_simhash": op1_simhash,
         "op4_quality": op4_quality,
@@ -83,8 +109,23 @@ def queries() -> dict:
     }
 
 
+TOPK_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_topk": TOPK_SQL,
         "op2_substring": substring.SUBSTRING_SQL,
         "op9_warc": warc.WARC_SQL,
         "op3_mixing": mixing.MIX_SQL.format(docs="documents"),
