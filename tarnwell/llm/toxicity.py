@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Labelled rows used for fitting, at most (chosen by a hash of their id).
 SAMPLE_ROWS = 24_000
 #: Vocabulary entries a category adds, at most, and documents an entry needs.
@@ -145,7 +147,9 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], r
     n = known.count()
     share = min(1.0, rows / max(n, 1))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", "text").join(picked, "doc_id")
+    # about ``rows`` ids, however large the input: small enough to go to every task
+    picked = picked.withColumnRenamed("doc_id", "_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = SAMPLE_ROWS) -> Chain:
@@ -160,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows:
     names = list(categories)
     sample = _sample(docs, labels, categories, rows)
     ys = [f"_y{k}" for k in range(len(names))]
-    sample = sample.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", *ys)
+    sample = saved(sample.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", *ys), "toxicity-sample")
 
     def counted(batches):
         n: Counter = Counter()
@@ -272,3 +276,9 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.withColumn("_p", scorer(docs, chain)("text")).withColumn(
         "_rejected", F.col("_p")[last] >= F.lit(chain.thresholds[last])
     )
+
+
+def kept(docs: DataFrame, chain: Chain) -> DataFrame:
+    """``docs`` without those that the chain's last category rejects."""
+    last = len(chain.categories) - 1
+    return docs.where(scorer(docs, chain)("text")[last] < F.lit(chain.thresholds[last]))
