@@ -121,8 +121,9 @@ def dedup(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> DataFr
     """``docs`` without the near-duplicates of a document with a smaller id.
 
     Rows that repeat the id that stays are the same document and stay with it;
-    rows without an id go where their group has an id, else they stay.
+    rows without an id always stay.
     """
-    gone = groups(docs, shingle, max_bits).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = groups(docs, shingle, max_bits).where(F.col("doc_id") > F.col("component_id"))
     gone = saved(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return packed.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")

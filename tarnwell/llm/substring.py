@@ -353,9 +353,11 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
             names=["n_words", "n_removed", "kept"],
         )
 
-    joined = docs.join(repeats, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    return joined.withColumn("_cut", cut("text", "_keys", "_whole")).select(
-        *[docs[c] for c in docs.columns],
+    # the row travels as one column, so that no name of its own can clash
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = packed.join(repeats, F.col("_row.doc_id").cast("long") == F.col("_doc"), "left")
+    return joined.withColumn("_cut", cut("_row.text", "_keys", "_whole")).select(
+        "_row.*",
         F.col("_cut.n_words").alias("_n_words"),
         F.col("_cut.n_removed").alias("_n_removed"),
         F.col("_cut.kept").alias("_kept"),
