@@ -112,6 +112,27 @@ def test_simhash_dedup_and_empty(spark):
     assert simhash.groups(df.where("false")).count() == 0
 
 
+def test_similar_groups(spark):
+    rng = random.Random(9)
+    data, truth = [], {}
+    for g in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        for k in range(4):
+            w = list(base)
+            for at in rng.sample(range(300), 2 * k):
+                w[at] = f"x{rng.randrange(3000)}"
+            data.append((10 * g + k, " ".join(w)))
+            truth[10 * g + k] = 10 * g
+    data += [(5000 + i, " ".join(f"w{rng.randrange(3000)}" for _ in range(100))) for i in range(60)] + [(7000, None), (7001, ""), (None, data[0][1]), (0, data[0][1])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, data)).collect()}
+    found = sum(got[d] == g for d, g in truth.items())
+    assert found >= 0.95 * len(truth)
+    assert all(got[5000 + i] == 5000 + i for i in range(60)) and got[7001] == 7000
+    kept = [r.doc_id for r in simhash.similar_dedup(documents(spark, data)).collect()]
+    assert kept.count(0) == 2 and None in kept and len([d for d in kept if d in truth]) == len({got[d] for d in truth}) + 1
+    assert simhash.similar_dedup(documents(spark, data).where("false")).count() == 0
+
+
 # 2 --------------------------------------------------------------------------
 
 
