@@ -5,6 +5,8 @@ Sums of doubles are rounded, since the order of addition differs by engine.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -503,6 +505,96 @@ def profile_columns(spark, sf_dir):
     return profiles.profile_frame(df).select("column_name", "n_rows", "nulls", "least", "most", F.round("mean_chars", 6).alias("mean_chars"))
 
 
+# sources and sinks ------------------------------------------------------------
+
+
+def _shared(spark: SparkSession, tag: str) -> str:
+    """A new place in the folder that driver and executors share."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tarnwell-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _there_and_back(kind: str, mode: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    path = _shared(spark, f"io-{kind}")
+    data = n.project(_tables(sf_dir)("customer"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    write = {"csv": n.write_csv, "json": n.write_json, "parquet": n.write_parquet}[kind]
+    read = {"csv": n.csv, "json": n.json, "parquet": n.parquet}[kind]
+    for _ in range(2 if mode == "append" else 1):
+        lower(write(data, path, mode), Context(spark))
+    return lower(n.project(read(path, **options), "c_custkey", "c_name", "c_acctbal", "c_mktsegment"), Context(spark)).df
+
+
+_CUSTOMERS = "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"
+
+
+@_frame(_CUSTOMERS)
+def io_csv(spark, sf_dir):
+    return _there_and_back("csv", "overwrite", spark, sf_dir, schema="c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string")
+
+
+@_frame(_CUSTOMERS)
+def io_json(spark, sf_dir):
+    return _there_and_back("json", "overwrite", spark, sf_dir)
+
+
+@_frame(f"{_CUSTOMERS} UNION ALL {_CUSTOMERS}")
+def io_parquet_append(spark, sf_dir):
+    return _there_and_back("parquet", "append", spark, sf_dir)
+
+
+@_frame("SELECT * FROM (VALUES (1::BIGINT, 'one', 1.5::DOUBLE), (2, NULL, NULL)) t(id, name, amount)")
+def source_const(spark, sf_dir):
+    return lower(n.const([{"id": 1, "name": "one", "amount": 1.5}, {"id": 2}], "id bigint, name string, amount double"), Context(spark)).df
+
+
+@_frame("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000")
+def masked_write(spark, sf_dir):
+    """What is written is what the policy lets through, and is the write's result."""
+    policy = Policy("columns", cls_drop={"*": frozenset({"c_name"})})
+    data = n.project(n.filter_(_tables(sf_dir)("customer"), col("c_acctbal") > 5000), "c_custkey", "c_acctbal", "c_name")
+    path = _shared(spark, "masked")
+    Service(spark, policy).run(n.write_parquet(data, path), Subject("analyst"))
+    return spark.read.parquet(path)
+
+
+# extensions -------------------------------------------------------------------
+
+
+@_frame(
+    """SELECT o_orderpriority, round(stddev(o_totalprice), 4) AS spread, round(median(o_totalprice), 4) AS middle FROM orders GROUP BY 1"""
+)
+def agg_spread(spark, sf_dir):
+    out = rel.group_by(_t(spark, sf_dir, "orders"), ["o_orderpriority"], {"s": Agg("stddev", col("o_totalprice")), "m": Agg("median", col("o_totalprice"))})
+    return out.select("o_orderpriority", F.round("s", 4).alias("spread"), F.round("m", 4).alias("middle"))
+
+
+@_frame("SELECT l_returnflag, round(sum(l_quantity * l_quantity) / sum(l_quantity), 4) AS weighted FROM lineitem GROUP BY 1")
+def agg_custom(spark, sf_dir):
+    """A user's aggregate as an expression of built-in ones: it keeps its partial sums."""
+    own = Agg("custom", col("l_quantity"), custom=lambda x: F.round(F.sum(x * x) / F.sum(x), 4))
+    return rel.group_by(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], {"weighted": own})
+
+
+@_plan(
+    """SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS quarter,
+    round(percent_rank() OVER (PARTITION BY user_id ORDER BY ts, event_id), 9) AS place FROM events"""
+)
+def win_ntile(t):
+    w = n.window(t("events"), WindowFunction("quarter", "ntile", offset=4, **_W), WindowFunction("p", "percent_rank", **_W))
+    return n.project(w, "event_id", "quarter", place=func("round", col("p"), 9))
+
+
+@_plan(f"""SELECT c_custkey, coalesce(o_orderkey, CAST(floor((SELECT avg(o_orderkey) FROM {_GAPS})) AS BIGINT)) AS o_orderkey,
+    coalesce(o_orderstatus, (SELECT o_orderstatus FROM {_GAPS} WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderstatus FROM {_GAPS}""")
+def null_impute(t):
+    return n.handle_nulls(_gaps(t), "impute", "o_orderkey", "o_orderstatus")
+
+
+@_plan("SELECT c_custkey, coalesce(o_orderstatus, 'none') AS status FROM " + _GAPS + " WHERE coalesce(o_orderkey, 0) < 100")
+def filter_coalesce(t):
+    kept = n.filter_(_gaps(t), func("coalesce", col("o_orderkey"), lit(0)) < 100)
+    return n.project(kept, "c_custkey", status=func("coalesce", col("o_orderstatus"), lit("none")))
+
+
 # event time -------------------------------------------------------------------
 
 
