@@ -1,11 +1,15 @@
 """Exact top-k by inner product with no random access.
 
-In a block of rows every dimension has a list of the rows sorted by their
-component.  For a query the lists are read from the end that scores higher, a
+The dimensions are cut into a few subspaces.  In a block of rows each subspace
+gives a query one list of the rows, sorted by their product with the query in
+it; a row's score is the sum over the lists.  The lists are read from the top, a
 stretch at a time; what has been read bounds every row's score from below
-(components not read are at least the list's last) and from above (at most the
-last read).  Reading ends when no row outside the best k can still get in; the
-few rows still in question are then resolved.
+(a part not read is at least the list's last) and from above (at most the last
+one read).  Reading ends when no row outside a small set can still get into the
+best k; the scores of that set are then resolved.
+
+The lists of many queries are worked through at once: reading to a depth is a
+selection of the depth's value, never a sort of the whole list.
 """
 
 from __future__ import annotations
@@ -18,67 +22,54 @@ from pyspark.sql import functions as F
 from .blocks import best, matrix, same_width, usable
 from .common import saved
 
+#: Lists a query has, at most.
+LISTS = 3
 #: How far the lists are read, as shares of their length, before bounds are compared.
-DEPTHS = (0.55, 0.75, 0.86, 0.93, 0.97, 1.0)
+DEPTHS = (0.12, 0.3, 0.6, 1.0)
 #: Rows that may be left in question when reading ends, for each of k.
-IN_QUESTION = 8
+IN_QUESTION = 6
+#: Queries whose lists are worked through at once.
+TOGETHER = 48
 #: Sums of products below this are exact in double precision.
 EXACT = 2.0**53
 
 
-class SortedLists:
-    """The lists of one block: for each dimension, rows and components in ascending order."""
+class SubspaceLists:
+    """The lists of one block of rows."""
 
-    def __init__(self, rows: np.ndarray):
+    def __init__(self, rows: np.ndarray, lists: int = LISTS):
         self.rows = rows
-        self.order = np.argsort(rows, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(rows, self.order.T, axis=0).T.astype(np.float64)
-        n, d = rows.shape
-        self.place = np.empty((n, d), dtype=np.int32)
-        np.put_along_axis(self.place, self.order.T, np.arange(n, dtype=np.int32)[:, None], axis=0)
-
-    def top(self, query: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that hold the ``k`` best (with ties) but for row ``skip``, and their scores."""
-        n, d = self.rows.shape
+        self.edges = np.linspace(0, rows.shape[1], min(lists, max(1, rows.shape[1])) + 1).astype(int)
+        self.depths_read: list[int] = []
+
+    def top(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query rows that hold its ``k`` best (with ties), and their scores."""
+        n = len(self.rows)
         if n <= 4 * k:
-            rows = np.arange(n)
-            return rows, self.rows @ query
-        use = np.flatnonzero(query)
-        q = query[use].astype(np.float64)
-        down = q < 0  # read from the small end: a list of negated components
-        order, values, place = self.order[use], self.values[use], self.place[:, use]
-        least = np.where(down, q * values[:, -1], q * values[:, 0])
-        known = np.zeros(n)
-        read = 0
+            return [(np.arange(n), self.rows @ q) for q in queries]
+        out: list = [None] * len(queries)
+        parts = [queries[:, a:b] @ self.rows[:, a:b].T for a, b in zip(self.edges, self.edges[1:], strict=False)]
+        least = [p.min(1, keepdims=True) for p in parts]
+        open_ = np.arange(len(queries))
         for depth in DEPTHS:
-            to = min(n, int(depth * n) + 1)
-            # sequential access: the next stretch of every list
-            if (~down).any():
-                self._read(known, order[~down, n - to : n - read], values[~down, n - to : n - read], q[~down])
-            if down.any():
-                self._read(known, order[down, read:to], values[down, read:to], q[down])
-            read = to
-            if read == n:
-                rows = np.arange(n)
-                return self._resolved(rows[rows != skip] if skip >= 0 else rows, query)
-            edge = np.where(down, q * values[:, read - 1], q * values[:, n - read])
-            unread = np.where(down[None, :], place >= read, place < n - read).astype(np.float64)
-            lower, upper = known + unread @ least, known + unread @ edge
-            if skip >= 0:
-                lower[skip] = upper[skip] = -np.inf
-            bar = np.partition(lower, n - k)[n - k]
-            rows = np.flatnonzero(upper >= bar)
-            if len(rows) <= IN_QUESTION * k:
-                return self._resolved(rows, query)
+            read = min(n, max(4 * k, int(depth * n)))
+            self.depths_read.append(read * len(open_))
+            lower, upper = 0, 0
+            for p, worst in zip(parts, least, strict=True):
+                edge = np.partition(p, n - read, axis=1)[:, n - read : n - read + 1]  # the last one read
+                lower = lower + np.where(p >= edge, p, worst)
+                upper = upper + np.maximum(p, edge)
+            bar = np.partition(lower, n - k, axis=1)[:, n - k : n - k + 1]
+            inside = upper >= bar
+            done = (inside.sum(1) <= IN_QUESTION * k) | (read == n)
+            for i in np.flatnonzero(done):
+                rows = np.flatnonzero(inside[i])
+                out[open_[i]] = rows, self.rows[rows] @ queries[open_[i]]
+            if done.all():
+                return out
+            open_, parts, least = open_[~done], [p[~done] for p in parts], [x[~done] for x in least]
         raise AssertionError("the last depth reads everything")
 
-    @staticmethod
-    def _read(known: np.ndarray, rows: np.ndarray, values: np.ndarray, q: np.ndarray) -> None:
-        known += np.bincount(rows.ravel(), weights=(values * q[:, None]).ravel(), minlength=len(known))
-
-    def _resolved(self, rows: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return rows, self.rows[rows] @ query
-
 
 def _top_of_blocks(k: int):
     def task(left: pa.Table, right: pa.Table):
@@ -86,19 +77,17 @@ def _top_of_blocks(k: int):
         largest = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * rows.shape[1]
         if largest < EXACT:
             queries, rows = queries.astype(np.float64), rows.astype(np.float64)
-        lists = SortedLists(rows)
+        lists = SubspaceLists(rows)
         ids, query_ids = np.asarray(right.column("vec_id")), np.asarray(left.column("vec_id"))
-        place = {}
-        for i, x in enumerate(ids.tolist()):
-            place.setdefault(x, []).append(i)
+        # a query's own rows take places too, so that many more are asked for
+        own = np.unique(ids[np.isin(ids, query_ids)], return_counts=True)[1].max(initial=0)
         out = []
-        for query_id, query in zip(query_ids.tolist(), queries, strict=True):
-            own = place.get(query_id, ())
-            found, scores = lists.top(query, k + len(own))
-            keep = ids[found] != query_id
-            found, scores = found[keep], scores[keep]
-            order = np.lexsort((ids[found], -scores))[:k]
-            out.append((np.full(len(order), query_id), ids[found[order]], scores[order].astype(np.int64)))
+        for at in range(0, len(queries), TOGETHER):
+            for query_id, (found, scores) in zip(query_ids[at:], lists.top(queries[at : at + TOGETHER], k + int(own)), strict=False):
+                keep = ids[found] != query_id
+                found, scores = found[keep], scores[keep]
+                order = np.lexsort((ids[found], -scores))[:k]
+                out.append((np.full(len(order), query_id), ids[found[order]], scores[order].astype(np.int64)))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     return task

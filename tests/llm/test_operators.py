@@ -342,19 +342,14 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(df.where("vec_id < 3")).count() == 2
 
 
-def test_sorted_lists_stop_early():
+def test_lists_stop_early():
     rng = np.random.default_rng(1)
     rows = rng.integers(-3, 4, (3000, 8)).astype(float)
     rows[:30] += 40
-    lists = topk.SortedLists(rows)
-    read = []
-    plain = topk.SortedLists._read
-    topk.SortedLists._read = staticmethod(lambda known, r, v, q: (read.append(r.size), plain(known, r, v, q)))
-    try:
-        found, scores = lists.top(np.ones(8), 10)
-    finally:
-        topk.SortedLists._read = staticmethod(plain)
-    assert sum(read) < rows.size and set(np.argsort(-(rows.sum(1)))[:10]) <= set(found.tolist())
+    lists = topk.SubspaceLists(rows)
+    (found, scores), *_ = lists.top(np.ones((2, 8)), 10)
+    assert sum(lists.depths_read) < 2 * len(rows) and set(np.argsort(-(rows.sum(1)))[:10]) <= set(found.tolist())
+    assert np.array_equal(scores, rows[found].sum(1))
 
 
 def test_ann(spark):
