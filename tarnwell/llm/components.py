@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def stars(edges: DataFrame) -> DataFrame:
     now = saved(edges.where("u <> v").select("u", "v"), "edges")
     mark = None
     while True:
-        now = saved(_small_star(_large_star(now)), "edges")
+        before, now = now, saved(_small_star(_large_star(now)), "edges")
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             return now

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions
+from .common import discard, saved, shuffle_partitions
 
 #: Words of a chunk.
 CHUNK_WORDS = 1_200_000
@@ -318,6 +318,7 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     first = digests.groupBy(F.col("a").alias("fa"), F.col("b").alias("fb")).agg(F.min("doc_id").alias("first"))
     copies = digests.join(first, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))).where("doc_id > first")
     copies = saved(copies.select(F.col("doc_id").alias("_copy")).distinct(), "copies")
+    discard(digests)
 
     anchors = _anchors(slim, block, buckets).join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
     anchors = saved(_collected(anchors), "anchors")
@@ -330,6 +331,7 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
         ),
         "repeats",
     )
+    discard(anchors)
     _release(spark)
 
     @F.arrow_udf("struct<n_words: long, n_removed: long, kept: string>")
