@@ -21,11 +21,11 @@ from .common import saved
 
 #: Rows the codebooks are trained on, at most (by a hash of the id).
 SAMPLE_ROWS = 16_000
-BOOKS = 8
+BOOKS = 24
 WORDS = 256
-BEAM = 6
+BEAM = 4
 #: Rows of a block that are ranked again by true distance.
-RERANKED = 120
+RERANKED = 150
 
 
 @dataclass
