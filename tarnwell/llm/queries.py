@@ -46,7 +46,7 @@ def toxic_chain() -> dict[str, Column]:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    chain = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()), toxic_chain(), rows=24_000)
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()), toxic_chain(), rows=12_000)
     return toxicity.score(docs.select("doc_id", "text"), chain).select(
         "doc_id",
         held_out().alias("held_out"),
