@@ -51,6 +51,27 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_STATE: list = [None, None]
+
+
+def worker_state(key, make):
+    """What a Python worker keeps between tasks: one operator's state, the latest.
+
+    Workers are used again by later stages; without this each would hold the
+    stores of every operator it ever ran.
+    """
+    if _STATE[0] != key:
+        _STATE[:] = [None, None]
+        _STATE[:] = [key, make()]
+    return _STATE[1]
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` to be sent to every task if it has at most ``most`` rows (they are
+    counted), else as it is, to be joined as Spark finds best."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null; stays in the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

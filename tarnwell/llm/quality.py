@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small
+
 #: Rows of positives, and of unlabelled text, used for fitting, at most (by a hash of the id).
 SAMPLE_ROWS = 20_000
 DECISION = 0.3
@@ -129,12 +131,6 @@ def feature_column(texts: pa.Array) -> pa.Array:
     return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
 
-def _matrix(rows: DataFrame) -> np.ndarray:
-    table = rows.select("doc_id", feature_column("text").alias("f")).toArrow().sort_by([("doc_id", "ascending")])
-    lists = table.column("f").combine_chunks()
-    return np.asarray(lists.flatten()).reshape(len(lists), -1)
-
-
 def _hashed(rows: DataFrame, share: float, salt: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
 
@@ -154,11 +150,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, target: str
     n, good = total["n"], total["good"] or 0
     if not good:
         return None
-    slim = docs.select("doc_id", "text")
-    positive = _matrix(slim.join(_hashed(known.where("_y = 1"), rows / good, 1).select("doc_id"), "doc_id"))
-    other = _matrix(slim.join(_hashed(known.where("_y <> 1"), rows / max(1, n - good), 2).select("doc_id"), "doc_id")) if n > good else np.zeros((0, positive.shape[1]))
     count = docs.count()
-    unlabelled = _matrix(_hashed(slim, rows / max(1, count), 3))
+    shares = {"positive": rows / good, "other": rows / max(1, n - good), "unlabelled": rows / max(1, count)}
+    picked = _hashed(known.where("_y = 1"), shares["positive"], 1).unionByName(_hashed(known.where("_y <> 1"), shares["other"], 2))
+    slim = docs.select("doc_id", "text")
+    # about 2 * rows ids, however large the input
+    picked = small(picked.withColumnRenamed("doc_id", "_id"), 4 * rows)
+    marked = slim.join(picked, F.col("doc_id") == F.col("_id"))
+    marked = marked.select("doc_id", "text", F.when(F.col("_y") == 1, 1).otherwise(0).alias("kind"))
+    sample = marked.unionByName(_hashed(slim, shares["unlabelled"], 3).withColumn("kind", F.lit(2)))
+    table = sample.select("doc_id", "kind", feature_column("text").alias("f")).toArrow().sort_by([("doc_id", "ascending"), ("kind", "ascending")])
+    lists, kind = table.column("f").combine_chunks(), np.asarray(table.column("kind"))
+    matrix = np.asarray(lists.flatten()).reshape(len(lists), len(features("")))
+    positive, other, unlabelled = matrix[kind == 1], matrix[kind == 0], matrix[kind == 2]
     if not len(unlabelled) or not len(positive):
         return None
     prior = min(0.99, good / n)
