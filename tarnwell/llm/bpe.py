@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -20,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_state
+
 #: Pieces that a worker remembers from earlier blocks.
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 130_000
 #: Characters of text that are encoded together.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_500_000
 ABSENT = 1 << 30
 
 
@@ -53,7 +54,7 @@ class MergeReplay:
 
     def pair_rank(self, key: int) -> int:
         """Of a pair that isn't among ``pairs`` yet; its ids are the halves of ``key``."""
-        if len(self.pairs) > 500_000:
+        if len(self.pairs) > 250_000:
             self.pairs.clear()
         token = self.bytes_of[key >> 24] + self.bytes_of[key & 0xFFFFFF]
         got = self.pairs[key] = self.ranks.get(token, ABSENT)
@@ -181,21 +182,10 @@ class Encoder:
         return [b"".join(map(known.__getitem__, pieces)) for pieces in block]
 
 
-@lru_cache(maxsize=2)
-def _encoder(packed: bytes, pattern: str) -> Encoder:
-    return Encoder(_unpacked(packed), pattern)
-
-
-@lru_cache(maxsize=2)
 def _unpacked(packed: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in packed.splitlines() if x.strip())}
 
 
-@lru_cache(maxsize=2)
-def _tokens(packed: bytes) -> dict[int, bytes]:
-    return {v: k for k, v in _unpacked(packed).items()}
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids array<int>``, one row per input row.
 
@@ -210,7 +200,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     kept = pa.schema([("doc_id", _arrow_type(slim, "doc_id")), ("ids", pa.list_(pa.int32()))])
 
     def encoded(batches):
-        encoder = _encoder(packed.value, pattern)
+        encoder = worker_state(("bpe", len(packed.value), pattern), lambda: Encoder(_unpacked(packed.value), pattern))
         for batch in batches:
             at = 0
             texts = (x.as_py() for x in batch.column(1))
@@ -237,7 +227,8 @@ def decoder(docs: DataFrame, ranks_path: str):
 
     @F.arrow_udf("binary")
     def decoded(ids: pa.Array) -> pa.Array:
-        token = _tokens(packed.value).__getitem__
+        make = lambda: {v: k for k, v in _unpacked(packed.value).items()}
+        token = worker_state(("bpe tokens", len(packed.value)), make).__getitem__
         return pa.array((b"".join(map(token, x.as_py())) if x.is_valid else None for x in ids), pa.binary())
 
     return decoded

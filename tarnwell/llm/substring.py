@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, shuffle_partitions
+from .common import discard, saved, shuffle_partitions, worker_state
 
 #: Words of a chunk.
-CHUNK_WORDS = 1_200_000
+CHUNK_WORDS = 800_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Hash buckets for each shuffle partition.
 BUCKETS_EACH = 4
 NONE = np.iinfo(np.int64).max
@@ -51,17 +51,15 @@ class _Hashes(dict):
         return got
 
 
-_WORDS = _Hashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > REMEMBERED:
-        _WORDS.clear()
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = worker_state("words", _Hashes)
+    if len(known) > REMEMBERED:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small, worker_state
 
 #: Labelled rows used for fitting, at most (chosen by a hash of their id).
 SAMPLE_ROWS = 12_000
@@ -32,7 +32,7 @@ LEAST_DOCUMENTS = 4
 LEAST_SCORE = 4.5
 FOLDS = 3
 #: Tokens a worker remembers the features of.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -160,9 +160,9 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], r
     n = known.count()
     share = min(1.0, rows / max(n, 1))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # about ``rows`` ids, however large the input: small enough to go to every task
-    picked = picked.withColumnRenamed("doc_id", "_id")
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).drop("_id")
+    # about ``rows`` ids, however large the input
+    picked = small(picked.withColumnRenamed("doc_id", "_id"), 2 * rows)
+    return docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).drop("_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = SAMPLE_ROWS) -> Chain:
@@ -251,16 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows:
     return chain
 
 
-_FEATURIZERS: dict[int, Featurizer] = {}
-
-
 def _featurizer(vocabulary) -> Featurizer:
     """One a worker, with its store of tokens."""
-    key = vocabulary._jbroadcast_id if hasattr(vocabulary, "_jbroadcast_id") else id(vocabulary.value)
-    if key not in _FEATURIZERS:
-        _FEATURIZERS.clear()
-        _FEATURIZERS[key] = Featurizer(vocabulary.value)
-    return _FEATURIZERS[key]
+    words = vocabulary.value
+    return worker_state(("toxicity", len(words), hash(frozenset(words))), lambda: Featurizer(words))
 
 
 def scorer(docs: DataFrame, chain: Chain):

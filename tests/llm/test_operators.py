@@ -156,7 +156,7 @@ def slow_removal(data, k):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("window,chunk", [(13, 1_200_000), (13, 50), (5, 400)])
+@pytest.mark.parametrize("window,chunk", [(13, 800_000), (13, 50), (5, 400)])
 def test_substring(spark, monkeypatch, window, chunk):
     monkeypatch.setattr(substring, "CHUNK_WORDS", chunk)  # for the closures that are made here
     data = list(enumerate(some_texts(7, 80)))[::-1] + EDGE + [(2000, "w " * 30_000)]
