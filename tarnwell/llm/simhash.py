@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import saved, shuffle_partitions
 from .components import stars
 
 SEED = 42
@@ -129,120 +129,227 @@ def dedup(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> DataFr
     return packed.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
-# Wide fingerprints: near-duplicates by estimated similarity ---------------------
-
-WIDE_WORDS = 3
-#: Differing bits of all (192) up to which documents are near-duplicates: word-shingle
-#: sets of Jaccard similarity 0.8 differ in 29 on average, of 0.7 in 37.
-WIDE_BITS = 33
-#: Differing bits of one other word (64) up to which a pair is looked at in full.
-GLANCE_BITS = 16
-_SPREAD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-
-
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles (of all its words, if fewer)."""
+# Near-duplicates by the similarity of shingle sets ------------------------------
+
+#: Jaccard similarity of the shingle sets from which documents are near-duplicates, as a fraction.
+LEAST = (4, 5)
+#: Bands of a document and minima in each, for the first links of large groups.
+BANDS = 8
+MINIMA = 3
+#: Documents in which common shingles are looked for, about, in how many of them one must
+#: be, and how many are told to every task.  They only move shingles in the order in which a
+#: document's are indexed; the pairs found are the same with any order.
+COMMON_ROWS = 4_000
+COMMON_IN = 4
+COMMON = 200_000
+#: Indexed shingles that two similar sets must share (or all of the fewer that they must
+#: share in all); the index is that much longer, and pairs that meet by chance are fewer.
+SHARED = 10
+#: Buckets of shingles for each shuffle partition.
+BUCKETS_EACH = 4
+_RANDOM = np.random.default_rng(SEED)
+_FLIPS = _RANDOM.integers(0, 2**63, BANDS * MINIMA, dtype=np.uint64)
+_FACTORS = _RANDOM.integers(0, 2**63, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
+_ENTRIES = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("keys", "nodes", "comps", "sizes", "places")])
+_PAIRS = pa.schema([(c, pa.int64()) for c in ("u", "v", "need", "n")])
+
+
+def shingles(text: str | None, shingle: int) -> set[bytes]:
+    """The word shingles of a text (of all its words, if fewer)."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1).tolist()
     starts = [0, *ends[:-1]]
     n = max(1, len(words) - shingle + 1)
     stops = [e - 1 for e in ends[min(shingle, len(words)) - 1 :]] if words else [0]
-    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts[:n], stops, strict=False)], dtype=np.uint64))
-
+    return {line[a:b] for a, b in zip(starts[:n], stops, strict=False)}
 
-def wide_fingerprint(text: str | None, shingle: int, words: int = WIDE_WORDS) -> list[int]:
-    hashes, out = shingle_hashes(text, shingle), []
-    for k in range(words):
-        h = hashes
-        if k:
-            h = (h ^ (h >> np.uint64(31))) * _SPREAD[k]
-            h = (h ^ (h >> np.uint64(29))) * _SPREAD[0]
-            h = h ^ (h >> np.uint64(32))
-        counts = np.zeros(64, dtype=np.int64)
-        for a in range(0, len(h), 1 << 15):
-            part = h[a : a + (1 << 15)].astype(">u8")
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(h)).view(">i8")[0]))
-    return out
 
-
-def _far(a: str, b: str) -> Column:
-    """Differing bits of two wide fingerprints."""
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, WIDE_WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, SEED) for s in shingles(text, shingle)], dtype=np.uint64))
 
 
-def _leader_links(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """Nodes that share a segment with a smaller node, linked to the smallest that does."""
-    parts = F.array(*[_bits(F.col("fp")[w], s).bitwiseOR(F.lit((3 * w + k) << 22)) for w in range(WIDE_WORDS) for k, s in enumerate(SEGMENTS)])
-    whole = nodes.select("node", "fp", F.explode(parts).alias("key"))
-    first = whole.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("node", "fp")).alias("l"))
-    met = whole.join(first, F.col("key") == F.col("k")).select("node", "fp", F.col("l.node").alias("u"), F.col("l.fp").alias("ufp"))
-    return met.where((F.col("node") != F.col("u")) & (_far("fp", "ufp") <= max_bits)).select("u", F.col("node").alias("v"))
+def similar(a: set, b: set, least: tuple[int, int] = LEAST) -> bool:
+    both = len(a & b)
+    return both * least[1] >= least[0] * (len(a) + len(b) - both)
 
 
-def _cross_links(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """Links between nodes of different components, by segments and their one-bit variants.
+def indexed(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: tuple[int, int] = LEAST) -> np.ndarray:
+    """The shingles under which a set is found: the first in an order that all documents share.
 
-    A row carries the fingerprint's next word; pairs that are far apart in it
-    are left in the join, the others are measured on all words.
+    Sets that are similar enough have SHARED shingles in common among these,
+    whatever the order; here common shingles come last.
     """
-    glance = lambda w: F.col("fp")[(w + 1) % WIDE_WORDS]
-    near = (F.col("ucomp") != F.col("vcomp")) & (F.bit_count(F.col("ulook").bitwiseXOR(F.col("vlook"))) <= GLANCE_BITS)
-
-    def side(df: DataFrame, c: str) -> DataFrame:
-        return df.select(F.col("node").alias(c), F.col("comp").alias(f"{c}comp"), F.col("look").alias(f"{c}look"), F.col("key").alias(f"{c}key"))
+    known, counts = common
+    rank = np.zeros(len(hashes), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, counts[at], 0)
+    n = len(hashes) + -(least[0] * len(hashes)) // least[1] + SHARED
+    return hashes[np.lexsort((hashes, rank))[:n]]
+
+
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: of its minima and its number."""
+    minima = np.full(len(_FLIPS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for a in range(0, len(hashes), 4096):
+        x = (hashes[None, a : a + 4096] ^ _FLIPS[:, None]) * _FACTORS[:, None]
+        minima = np.minimum(minima, (x ^ (x >> np.uint64(31))).min(1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for part in minima.reshape(BANDS, MINIMA).T:
+        keys = (keys ^ part) * _FACTORS[0]
+        keys = keys ^ (keys >> np.uint64(29))
+    return keys.view(np.int64)
+
+
+def _common_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, in order, of shingles common among some documents, and in how many they are."""
 
-    parts = F.array(
-        *[F.struct(_bits(F.col("fp")[w], s).bitwiseOR(F.lit((3 * w + k) << 22)).alias("key"), glance(w).alias("look")) for w in range(WIDE_WORDS) for k, s in enumerate(SEGMENTS)]
-    )
-    whole = nodes.select("node", "comp", F.explode(parts).alias("p")).select("node", "comp", "p.key", "p.look")
-    same = side(whole, "u").join(side(whole, "v"), (F.col("ukey") == F.col("vkey")) & (F.col("u") < F.col("v")) & near)
-
-    bit = nodes.select("node", "comp", "fp", F.explode(F.sequence(F.lit(0), F.lit(64 * WIDE_WORDS - 1))).alias("i"))
-    word, at = F.expr("fp[i div 64]"), F.col("i") % 64
-    power = F.expr("shiftleft(1L, i % 64)")
-    cleared = word.bitwiseAND(F.bitwise_not(power))
-    part = F.when(at < 21, _bits(cleared, SEGMENTS[0])).when(at < 42, _bits(cleared, SEGMENTS[1])).otherwise(_bits(cleared, SEGMENTS[2]))
-    has = word.bitwiseAND(power) != 0
-    row = ["node", "comp", (F.col("i").cast("long") * (1 << 22) + part).alias("key"), F.expr(f"fp[(i div 64 + 1) % {WIDE_WORDS}]").alias("look")]
-    zero, one = side(bit.where(~has).select(*row), "u"), side(bit.where(has).select(*row), "v")
-    differ = zero.join(one, (F.col("ukey") == F.col("vkey")) & near)
-    pairs = saved(same.select("u", "v").unionByName(differ.select("u", "v")), "pairs").distinct()
-    fps = nodes.select("node", "fp")
-    left, right = (fps.select(F.col("node").alias(f"{c}n"), F.col("fp").alias(f"{c}fp")) for c in "uv")
-    measured = pairs.join(left, F.col("u") == F.col("un")).join(right, F.col("v") == F.col("vn"))
-    return measured.where(_far("ufp", "vfp") <= max_bits).select("u", "v")
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, max_bits: int = WIDE_BITS) -> DataFrame:
-    """``doc_id, component_id`` of near-duplicates by 192-bit fingerprints of shingle sets.
-
-    A pair is found if some of nine segments differs in at most one bit, which
-    at a similarity of 0.8 happens three times in four, at 0.9 nearly always;
-    groups of several copies have more chances.  First every node is linked to
-    the smallest that shares a segment, which joins large groups by as many
-    links as they have nodes; then only pairs across groups are looked for.
-    Documents without an id take no part; null and empty texts are alike.
-    """
     @F.arrow_udf(T.ArrayType(T.LongType()))
-    def wide(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint(t.as_py(), shingle) for t in texts], pa.list_(pa.int64()))
-
-    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), wide("text").alias("fp"))
-    fps = saved(slim, "wide")
-    nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    near = stars(_leader_links(nodes, max_bits))
-    placed = saved(nodes.join(near, F.col("node") == F.col("u"), "left").select("node", "fp", F.coalesce("v", "node").alias("comp")), "placed")
-    final = stars(near.unionByName(_cross_links(placed, max_bits)))
-    named = nodes.join(final, F.col("node") == F.col("u"), "left").select(F.col("fp").alias("f"), F.coalesce("v", "node").alias("component_id"))
-    return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "component_id")
-
-
-def similar_dedup(docs: DataFrame, shingle: int = 5, max_bits: int = WIDE_BITS) -> DataFrame:
+    def hashes(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t.as_py(), shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    share = int(min(1.0, COMMON_ROWS / max(1, slim.count())) * 1_000_000)
+    some = slim.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
+    counts = some.select(F.explode(hashes("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_IN)
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    known, n = np.asarray(found.column("h")).astype(np.int64).view(np.uint64), np.asarray(found.column("n")).astype(np.int64)
+    order = np.argsort(known)
+    return known[order], n[order]
+
+
+def _leader_pairs(nodes: DataFrame) -> DataFrame:
+    """Nodes that share a band with a smaller node, each with the smallest that does."""
+    whole = nodes.select("node", F.explode("bands").alias("key"))
+    first = whole.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("u"))
+    met = whole.join(first, F.col("key") == F.col("k")).where(F.col("node") != F.col("u"))
+    return met.select("u", F.col("node").alias("v")).distinct()
+
+
+def _pairs_of_keys(keys, nodes, comps, sizes, places, least) -> np.ndarray:
+    """Pairs of different components that meet and can be similar enough: smaller node,
+    larger node, how many keys they must have in common, how many of these they have."""
+    order = np.lexsort((comps, keys))
+    keys, nodes, comps, sizes, places = (x[order] for x in (keys, nodes, comps, sizes, places))
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+    stop = np.repeat(ends, np.diff(np.append(0, ends)))
+    new = np.append(np.flatnonzero((keys[1:] != keys[:-1]) | (comps[1:] != comps[:-1])) + 1, len(keys))
+    after = np.repeat(new, np.diff(np.append(0, new)))
+    left = np.flatnonzero(after < stop)
+    found = [np.zeros((4, 0), np.int64)]
+    # every row meets the rows of its key that follow its component's, some rows at a time
+    counts = stop[left] - after[left]
+    cuts = np.flatnonzero(np.diff(np.append(-1, np.cumsum(counts) // 500_000)))
+    for a, b in zip(cuts, np.append(cuts, len(left))[1:], strict=True):
+        n = counts[a:b]
+        x = np.repeat(left[a:b], n)
+        y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(after[left[a:b]], n)
+        # each of the first SHARED keys that a pair has in common leaves room for what it must still share
+        room = np.minimum(sizes[x] - places[x], sizes[y] - places[y])
+        must = -(-least[0] * (sizes[x] + sizes[y]) // (least[0] + least[1]))
+        can = room + SHARED - 1 >= must
+        x, y, need = nodes[x[can]], nodes[y[can]], np.minimum(must[can], SHARED)
+        pairs, times = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), need]), axis=1, return_counts=True)
+        found.append(np.concatenate([pairs, times[None]]))
+    return np.concatenate(found, axis=1)
+
+
+def _cross_pairs(placed: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """All pairs of nodes of different components that can be similar enough."""
+    buckets = BUCKETS_EACH * shuffle_partitions(placed.sparkSession)
+
+    def sent(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(3)
+            lengths = np.diff(np.asarray(lists.offsets))
+            keys = np.asarray(lists.flatten())
+            nodes, comps, sizes = (np.repeat(np.asarray(batch.column(k)), lengths) for k in range(3))
+            places = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            bucket = (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order].astype(np.int64)
+            columns = [c[order].astype(kind) for c, kind in ((keys, "<i8"), (nodes, "<i8"), (comps, "<i8"), (sizes, "<i4"), (places, "<i4"))]
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            rows = [(int(bucket[a]), *[c[a:b].tobytes() for c in columns]) for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True)]
+            for k in range(0, len(rows), 256):
+                part = list(zip(*rows[k : k + 256], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _ENTRIES, strict=True)], schema=_ENTRIES)
+
+    def met(table: pa.Table) -> pa.Table:
+        columns = [np.frombuffer(b"".join(table.column(c).to_pylist()), kind).astype(np.int64) for c, kind in (("keys", "<i8"), ("nodes", "<i8"), ("comps", "<i8"), ("sizes", "<i4"), ("places", "<i4"))]
+        return pa.Table.from_arrays([pa.array(x) for x in _pairs_of_keys(*columns, least)], schema=_PAIRS)
+
+    entries = placed.select("node", "comp", "size", "prefix").mapInArrow(sent, "bucket int, keys binary, nodes binary, comps binary, sizes binary, places binary")
+    found = entries.groupBy("bucket").applyInArrow(met, "u long, v long, need long, n long").where("u < v")
+    return found.groupBy("u", "v").agg(F.min("need").alias("need"), F.sum("n").alias("n")).where("n >= need").select("u", "v")
+
+
+def _similar_pairs(pairs: DataFrame, slim: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose texts' shingle sets are similar enough, compared in full."""
+
+    @F.arrow_udf(T.BooleanType())
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        out, before, kept = [], None, None
+        for a, b in zip(left, right, strict=True):
+            a = a.as_py()
+            if kept is None or a != before:
+                before, kept = a, shingles(a, shingle)
+            out.append(similar(kept, shingles(b.as_py(), shingle), least))
+        return pa.array(out, pa.bool_())
+
+    left, right = (slim.select(F.col("doc_id").alias(f"{c}n"), F.col("text").alias(f"{c}t")) for c in "uv")
+    both = pairs.join(left, F.col("u") == F.col("un")).join(right, F.col("v") == F.col("vn"))
+    return both.where(alike("ut", "vt")).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
+    """``doc_id, component_id`` of near-duplicates by the Jaccard similarity of shingle sets.
+
+    Every pair of documents whose sets have a similarity of ``least`` or more is
+    linked, and no other pair.  A document is indexed under the first of its
+    shingles, so many that two similar sets must share SHARED of them, and pairs
+    that do are compared in full.  Before that, every node is compared
+    to the smallest that shares a band of minima with it, which joins large
+    groups by as many links as they have nodes; only pairs across groups are
+    then looked for.  Documents without an id take no part; null and empty
+    texts are alike.
+    """
+    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    common = slim.sparkSession.sparkContext.broadcast(_common_shingles(slim, shingle))
+
+    @F.arrow_udf("struct<digest: binary, size: int, prefix: array<long>, bands: array<long>>")
+    def sets(texts: pa.Array) -> pa.Array:
+        digest, size, prefix, bands = [], [], [], []
+        for t in texts:
+            h = shingle_hashes(t.as_py(), shingle)
+            digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+            size.append(len(h))
+            prefix.append(indexed(h, common.value, least).view(np.int64))
+            bands.append(_bands(h))
+        longs = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays(
+            [pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, longs), pa.array(bands, longs)],
+            names=["digest", "size", "prefix", "bands"],
+        )
+
+    fps = saved(slim.select("doc_id", sets("text").alias("s")).select("doc_id", "s.*"), "sets")
+    nodes = saved(fps.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", "prefix", "bands")]), "nodes")
+    near = stars(_similar_pairs(saved(_leader_pairs(nodes), "pairs"), slim, shingle, least))
+    placed = nodes.join(near, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("comp"), "size", "prefix")
+    pairs = saved(_cross_pairs(placed, least), "pairs")
+    final = stars(near.unionByName(_similar_pairs(pairs, slim, shingle, least)))
+    named = nodes.join(final, F.col("node") == F.col("u"), "left").select(F.col("digest").alias("d"), F.coalesce("v", "node").alias("component_id"))
+    return fps.join(named, F.col("digest") == F.col("d")).select("doc_id", "component_id")
+
+
+def similar_dedup(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
     """``docs`` with the smallest id of each group of :func:`similar_groups`; rows
     that repeat it, and rows without an id, stay too."""
-    gone = similar_groups(docs, shingle, max_bits).where(F.col("doc_id") > F.col("component_id"))
+    gone = similar_groups(docs, shingle, least).where(F.col("doc_id") > F.col("component_id"))
     gone = saved(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return packed.join(gone, F.col("_row.doc_id").cast("long") == F.col("_gone"), "left_anti").select("_row.*")

@@ -133,6 +133,35 @@ def test_similar_groups(spark):
     assert simhash.similar_dedup(documents(spark, data).where("false")).count() == 0
 
 
+def test_similar_pairs_are_all_found_and_no_other(spark):
+    rng = random.Random(12)
+    data = []
+    for g in range(150):
+        # word edits five apart take five shingles each
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        edits = rng.choice([5, 6, 6, 7])
+        other = [f"x{g}" if i % 40 == 20 and i // 40 < edits else w for i, w in enumerate(base)]
+        data += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    line = " ".join(f"l{i}" for i in range(60))
+    data += [(1000 + i, line + " " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(rng.choice([5, 20])))) for i in range(40)]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in data}
+    root = {d: d for d in sets}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    linked = 0
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            linked += 1
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, data)).collect()}
+    assert linked > 100 and got == {d: find(d) for d in sets}
+
+
 # 2 --------------------------------------------------------------------------
 
 
