@@ -12,6 +12,10 @@ Both rounds move packed arrays instead of rows: a task works through its
 documents in chunks, settles what repeats within the chunk there, and sends one
 entry for each distinct hash to the hash's bucket.  A passage that a third of
 all documents share therefore sends one entry a chunk, not one a document.
+
+In the first round a bucket tells entries apart by half a hash: what meets by
+chance there is only looked at in vain.  The second round decides, by 96 bits of each
+window besides its bucket.
 """
 
 from __future__ import annotations
@@ -35,8 +39,12 @@ REMEMBERED = 200_000
 BUCKETS_EACH = 4
 NONE = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
+#: Key of an entry of the second round: half a hash, and another one.
+_WIDE = np.dtype([("low", "<u4"), ("more", "<u8")])
+
 MESSAGE = "bucket int, kind int, keys binary, docs binary, counts binary, flags binary"
 _MESSAGE = pa.schema(
     [("bucket", pa.int32()), ("kind", pa.int32())] + [(c, pa.binary()) for c in ("keys", "docs", "counts", "flags")]
@@ -62,14 +70,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, k: int, base: np.uint64 = _BASE) -> np.ndarray:
     """A hash of every run of ``k`` entries."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
     for i in range(k):
-        out *= _BASE
+        out *= base
         out += hashes[i : i + n]
     out ^= out >> np.uint64(32)
     out *= _MIX
@@ -78,17 +86,19 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def full_key(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and lower half of a hash, as the entries of a bucket are told apart."""
+    """Bucket and lower half of a hash, as the first round tells the entries of a bucket apart."""
     bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
     return (bucket << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by key, where each group starts in it, and each entry's group."""
-    order = np.argsort(keys, kind="stable")
+def _grouped(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key (and more of it), where each group starts in it, and each entry's group."""
+    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
     s = keys[order]
     first = np.ones(len(s), dtype=bool)
     first[1:] = s[1:] != s[:-1]
+    if more is not None:
+        first[1:] |= more[order][1:] != more[order][:-1]
     return order, np.flatnonzero(first), np.cumsum(first) - 1
 
 
@@ -107,18 +117,22 @@ def _by_doc(docs: np.ndarray, keys: np.ndarray, rows: int = 50_000) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + rows]), lists], schema=_FOUND)
 
 
-def _messages(hashes, docs, flags, local_docs, local_keys, buckets) -> Iterator[pa.RecordBatch]:
-    """Entries to their buckets (kind 0) and what the chunk found itself (kind 1)."""
+def _messages(hashes, docs, flags, local_docs, local_keys, buckets, more=None) -> Iterator[pa.RecordBatch]:
+    """Entries to their buckets (kind 0) and what the chunk found itself (kind 1).
+
+    An entry's key is half its hash, and all of ``more``, a second hash, if given.
+    """
     bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((docs, bucket))
     bucket, docs, flags = bucket[order], docs[order], flags[order]
     low = (hashes[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
+    sent = low if more is None else np.rec.fromarrays([low, more[order]], dtype=_WIDE)
     rows = []
     edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, dtype=np.int64)
     for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
         runs = np.flatnonzero(np.append(True, docs[a + 1 : b] != docs[a : b - 1]))
         counts = np.diff(np.append(runs, b - a)).astype("<u4")
-        rows.append((int(bucket[a]), 0, low[a:b].tobytes(), docs[a:b][runs].astype("<i8").tobytes(), counts.tobytes(), np.packbits(flags[a:b]).tobytes()))
+        rows.append((int(bucket[a]), 0, sent[a:b].tobytes(), docs[a:b][runs].astype("<i8").tobytes(), counts.tobytes(), np.packbits(flags[a:b]).tobytes()))
     if len(local_docs):
         spread = local_docs % buckets
         order = np.argsort(spread, kind="stable")
@@ -131,7 +145,7 @@ def _messages(hashes, docs, flags, local_docs, local_keys, buckets) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _MESSAGE, strict=True)], schema=_MESSAGE)
 
 
-def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _received(table: pa.Table, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     keys, docs, flags, own_docs, own_keys = [], [], [], [], []
     for row in table.to_pylist():
         ids = np.frombuffer(row["docs"], "<i8")
@@ -139,12 +153,12 @@ def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             own_docs.append(ids)
             own_keys.append(np.frombuffer(row["keys"], "<i8"))
             continue
-        low = np.frombuffer(row["keys"], "<u4")
-        keys.append(low)
+        sent = np.frombuffer(row["keys"], _WIDE if wide else "<u4")
+        keys.append(sent)
         docs.append(np.repeat(ids, np.frombuffer(row["counts"], "<u4")))
-        flags.append(np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=len(low)).astype(bool))
+        flags.append(np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=len(sent)).astype(bool))
     joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-    return joined(keys, "<u4"), joined(docs, "<i8"), joined(flags, bool), joined(own_docs, "<i8"), joined(own_keys, "<i8")
+    return joined(keys, _WIDE if wide else "<u4"), joined(docs, "<i8"), joined(flags, bool), joined(own_docs, "<i8"), joined(own_keys, "<i8")
 
 
 def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
@@ -231,7 +245,7 @@ def _collected(found: DataFrame) -> DataFrame:
 
 
 def _repeats(candidates: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
-    """For every document the keys of its runs of ``window`` words that a smaller document has."""
+    """For every document the second hashes of its runs of ``window`` words that a smaller document has."""
 
     def extended(batches):
         def rows():
@@ -240,7 +254,7 @@ def _repeats(candidates: DataFrame, block: int, window: int, buckets: int) -> Da
                     yield i.as_py(), word_hashes(words_of(text.as_py())), np.asarray(keys.values)
 
         for chunk in _chunks(rows()):
-            picked_hashes, picked_docs = [], []
+            picked_hashes, picked_more, picked_docs = [], [], []
             for doc, hashes, keys in chunk:
                 n = len(hashes) - window + 1
                 if n <= 0:
@@ -251,38 +265,40 @@ def _repeats(candidates: DataFrame, block: int, window: int, buckets: int) -> Da
                 starts = np.arange(n)
                 near = np.flatnonzero(seen[starts + window - block + 1] > seen[starts])
                 picked_hashes.append(rolling(hashes, window)[near])
+                picked_more.append(rolling(hashes, window, _BASE_2)[near])
                 picked_docs.append(np.full(len(near), doc, dtype=np.int64))
             if not picked_hashes:
                 continue
-            hashes, ids = np.concatenate(picked_hashes), np.concatenate(picked_docs)
+            hashes, more, ids = np.concatenate(picked_hashes), np.concatenate(picked_more), np.concatenate(picked_docs)
             if not len(hashes):
                 continue
-            order, starts, group = _grouped(hashes)
-            hashes, ids = hashes[order], ids[order]
+            order, starts, group = _grouped(hashes, more)
+            hashes, more, ids = hashes[order], more[order], ids[order]
             least = np.minimum.reduceat(ids, starts)
             later = ids > least[group]
-            yield from _messages(hashes[starts], least, np.ones(len(starts), bool), ids[later], full_key(hashes[later], buckets), buckets)
+            yield from _messages(hashes[starts], least, np.ones(len(starts), bool), ids[later], more[later].view(np.int64), buckets, more[starts])
 
     def matched(key, table):
-        keys, ids, _, own_docs, own_keys = _received(table)
+        keys, ids, _, own_docs, own_keys = _received(table, wide=True)
         if len(keys):
-            order, starts, group = _grouped(keys)
-            keys, ids = keys[order], ids[order]
+            low, more = keys["low"].copy(), keys["more"].copy()
+            order, starts, group = _grouped(more, low)
+            more, ids = more[order], ids[order]
             later = ids > np.minimum.reduceat(ids, starts)[group]
             own_docs = np.concatenate([own_docs, ids[later]])
-            own_keys = np.concatenate([own_keys, (key[0].as_py() << 32) | keys[later].astype(np.int64)])
+            own_keys = np.concatenate([own_keys, more[later].astype(np.uint64).view(np.int64)])
         yield from _by_doc(own_docs, own_keys)
 
     slim = candidates.select("doc_id", "text", "_keys")
     return slim.mapInArrow(extended, MESSAGE).groupBy("bucket").applyInArrow(_table_out(matched), FOUND)
 
 
-def spans(hashes: np.ndarray, keys: np.ndarray, window: int, buckets: int) -> np.ndarray:
-    """A mask of the words in maximal repeats, from the keys of repeated windows."""
+def spans(hashes: np.ndarray, keys: np.ndarray, window: int) -> np.ndarray:
+    """A mask of the words in maximal repeats, from the second hashes of repeated windows."""
     n = len(hashes)
     covered = np.zeros(n + 1, dtype=np.int64)
     if len(keys) and n >= window:
-        hit = np.flatnonzero(np.isin(full_key(rolling(hashes, window), buckets), keys))
+        hit = np.flatnonzero(np.isin(rolling(hashes, window, _BASE_2).view(np.int64), keys))
         np.add.at(covered, hit, 1)
         np.add.at(covered, hit + window, -1)
     return np.cumsum(covered[:-1]) > 0
@@ -342,7 +358,7 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
                 n_removed.append(len(words))
                 words = []
             elif key.is_valid and len(key.values):
-                gone = spans(word_hashes(words), np.asarray(key.values), window, buckets)
+                gone = spans(word_hashes(words), np.asarray(key.values), window)
                 n_removed.append(int(gone.sum()))
                 words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
             else:

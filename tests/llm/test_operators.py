@@ -202,6 +202,22 @@ def test_substring_removed_keeps_columns(spark):
     assert substring.dedup(df.where("false")).count() == 0
 
 
+def test_substring_tells_windows_apart(spark):
+    made = [f"w{i}".encode() for i in range(1_500_000)]
+    hashes = substring.rolling(substring.word_hashes(made), 13)
+    keys = substring.full_key(hashes, substring.BUCKETS_EACH * 4)  # the session's shuffle partitions
+    order = np.argsort(keys)
+    same = np.flatnonzero((keys[order][1:] == keys[order][:-1]) & (hashes[order][1:] != hashes[order][:-1]))
+    assert len(same)
+    data = []
+    for n, at in enumerate(same):
+        for k, i in enumerate(order[[at, at + 1]]):
+            window = [w.decode() for w in made[i : i + 13]]
+            # the first block occurs before, so that the window is looked at in the second round
+            data += [(4 * n + 2 * k, " ".join(window[:7])), (4 * n + 2 * k + 1, " ".join(window))]
+    assert all(r._n_removed == 0 for r in substring.dedup(documents(spark, data)).collect())
+
+
 # 3 --------------------------------------------------------------------------
 
 
