@@ -4,7 +4,9 @@ A vector is approximated by the sum of one codeword from each of several
 full-dimensional codebooks, each trained on the residuals of the ones before.
 Encoding keeps a beam of the best partial sums.  A query scores codes from a
 lookup table of its products with the codewords and the stored norm of the sum;
-the best by that score are ranked again by their true distance.
+the best by that score are ranked again by their true distance.  Rows of the
+same code are scored once and taken or left together, so that copies of a vector
+take one place among the best, however many they are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ SAMPLE_ROWS = 16_000
 BOOKS = 24
 WORDS = 256
 BEAM = 4
-#: Rows of a block that are ranked again by true distance.
+#: Distinct codes of a block whose rows are ranked again by true distance.
 RERANKED = 150
 
 
@@ -126,6 +128,15 @@ def index(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, C
     return saved(coded, "codes"), codebooks
 
 
+def _first_copies(rows: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows but for those with ``most`` copies of smaller ids."""
+    vector = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, vector))
+    starts = np.flatnonzero(np.append(True, np.diff(vector[order]) > 0))
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return np.sort(order[place < most])
+
+
 def _nearest_of_blocks(k: int, codebooks):
     def task(left: pa.Table, right: pa.Table):
         books = codebooks.value
@@ -134,6 +145,15 @@ def _nearest_of_blocks(k: int, codebooks):
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
         norms = np.asarray(right.column("norm"))
         wide = np.pad(queries, ((0, 0), (0, books.words.shape[2] - queries.shape[1])))
+        # of copies of a vector those of the smallest ids can be among the best, the query's own rows aside
+        own = int(np.unique(ids[np.isin(ids, query_ids)], return_counts=True)[1].max(initial=0))
+        kept = _first_copies(rows, ids, k + own)
+        ids, rows, norms = ids[kept], rows[kept], norms[kept]
+        codes, first, word = np.unique(codes[kept], axis=0, return_index=True, return_inverse=True)
+        norms, word = norms[first], word.ravel()
+        members = np.argsort(word, kind="stable")
+        sizes = np.bincount(word, minlength=len(codes))
+        ends = np.cumsum(sizes)
         out = []
         flat = (codes + np.arange(codes.shape[1]) * books.words.shape[1]).T.copy()
         for query_id, query, table in zip(query_ids.tolist(), queries, books.tables(wide), strict=True):
@@ -141,9 +161,11 @@ def _nearest_of_blocks(k: int, codebooks):
             rough = norms.copy()
             for column in flat:
                 rough -= 2 * lookup[column]
-            rough[ids == query_id] = np.inf
-            m = min(len(ids), max(RERANKED, 4 * k))
-            pick = np.argpartition(rough, m - 1)[:m]
+            # the codes of the query's own rows may take places
+            m = min(len(codes), max(RERANKED, 4 * k) + own)
+            best_codes = np.argpartition(rough, m - 1)[:m]
+            n = sizes[best_codes]
+            pick = members[np.arange(n.sum()) + np.repeat(ends[best_codes] - np.cumsum(n), n)]
             pick = pick[ids[pick] != query_id]
             true = np.sqrt(((rows[pick] - query) ** 2).sum(1))
             order = np.lexsort((ids[pick], true))[:k]

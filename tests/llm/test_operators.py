@@ -422,6 +422,22 @@ def test_ann(spark):
     assert ((x - sums) ** 2).sum() <= ((x - codebooks.words[np.arange(4), greedy].sum(1)) ** 2).sum()
 
 
+def test_ann_of_many_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1800, 16)).astype(np.float32)
+    copies = rng.permutation(1800)[:600]
+    x[copies] = x[copies[0]]
+    order = rng.permutation(1800)
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in order], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, k=10, every=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    queries = [int(i) for i in copies if i % 20 == 0]
+    assert queries
+    for q in queries:
+        assert [i for _, i in sorted(got[q])] == sorted(int(i) for i in copies if i != q)[:10]
+
+
 # 9 --------------------------------------------------------------------------
 
 
