@@ -20,8 +20,6 @@ MIN_SUPPORT = 0.004
 MIN_CONFIDENCE = 0.6
 #: How much likelier than usual a URL of the combination must be blocked.
 MIN_LIFT = 1.5
-#: Tokens of a combination, at most.
-LONGEST = 4
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -79,7 +77,6 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rules = found.where(
         (F.size("consequent") == 1)
         & (F.col("consequent")[0] == BLOCK)
-        & (F.size("antecedent") <= LONGEST)
         & (F.col("confidence") >= min_lift * seen["bad"] / seen["n"])
     )
     return saved(rules.select(F.col("antecedent").alias("rule"), "confidence", "support"), "rules")

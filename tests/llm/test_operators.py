@@ -355,6 +355,16 @@ def test_urls(spark):
     assert urls.judge(pages.where("false"), labels, RULES, F.col("quality") == 0).count() == 0
 
 
+def test_a_long_rule_blocks(spark):
+    names = "abcde"
+    bad = [(i, "/".join(names)) for i in range(40)]
+    good = [(100 + 60 * k + i, "/".join(n for n in names if n != left)) for k, left in enumerate(names) for i in range(60)]
+    pages = spark.createDataFrame([(i, f"http://site.info/{p.replace('/', 'x/')}x") for i, p in bad + good], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 100), 0) for i, _ in bad + good], "doc_id long, quality int, toxic int")
+    got = urls.judge(pages, labels, RULES, F.col("quality") == 0).collect()
+    assert len(got) == 340 and all(r.verdict == ("block" if r.page_id < 100 else "allow") for r in got)
+
+
 # 7 and 8 ----------------------------------------------------------------------
 
 
