@@ -10,6 +10,9 @@ best k; the scores of that set are then resolved.
 
 The lists of many queries are worked through at once: reading to a depth is a
 selection of the depth's value, never a sort of the whole list.
+
+The lists exist in name only: the products of all rows in every subspace are
+computed first, so that an early end saves selections, not products.
 """
 
 from __future__ import annotations
