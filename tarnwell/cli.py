@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+from pathlib import Path
 
 from tarnwell.errors import TarnwellError
 
@@ -23,7 +25,7 @@ def _service(args):
 
     policy = load_policy(args.policy) if args.policy else BASELINE
     subject = Subject(args.user or "anonymous", tuple(args.role or ()))
-    return Service(_session(), policy), subject
+    return Service(_session(), policy, enforced=not args.unsafe_disable_policy), subject
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -38,11 +40,17 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--head", type=int, default=20)
         p.add_argument("--json", action="store_true")
         p.add_argument("--quiet", action="store_true")
+        p.add_argument("--unsafe-disable-policy", action="store_true", help="no rules, masks or egress checks; for local debugging only")
     p = commands.add_parser("profile")
-    p.add_argument("path")
+    p.add_argument("path", help="a file, a folder of Parquet, or sqlite:PATH")
+    p.add_argument("--table", help="of a database")
     p.add_argument("--json", action="store_true")
     p = commands.add_parser("policy")
     p.add_argument("path")
+    p = commands.add_parser("examples")
+    p.add_argument("--show", metavar="NAME")
+    p.add_argument("--write", nargs=2, metavar=("NAME", "PATH"))
+    commands.add_parser("engines")
     commands.add_parser("doctor")
     commands.add_parser("version")
     args = parser.parse_args(argv)
@@ -76,9 +84,13 @@ def _explain(args) -> int:
 
 
 def _profile(args) -> int:
-    from tarnwell.profile import profile_csv, profile_parquet
+    from tarnwell import profile
 
-    found = profile_csv(args.path) if args.path.endswith(".csv") else profile_parquet(args.path)
+    kind = {".csv": "csv", ".json": "json", ".jsonl": "json", ".xlsx": "excel"}.get(os.path.splitext(args.path)[1].lower(), "parquet")
+    if args.path.startswith("sqlite:"):
+        found = profile.profile_sqlite(args.path.removeprefix("sqlite:"), args.table or "")
+    else:
+        found = getattr(profile, f"profile_{kind}")(args.path)
     out = {"rows": found.rows, "exact": found.exact, "provenance": found.provenance, "columns": [{"name": c.name, "type": c.type, "nulls": c.nulls} for c in found.columns]}
     print(json.dumps(out) if args.json else "\n".join([f"{found.rows} rows ({found.provenance})", *[f"{c.name}\t{c.type}\tnulls {c.nulls}" for c in found.columns]]))
     return 0
@@ -97,6 +109,50 @@ def _doctor(args) -> int:
     return 0
 
 
+#: Pipelines to begin with: name -> source.
+EXAMPLES = {
+    "totals": """from tarnwell.plans.expr import count, sum_
+from tarnwell.plans.nodes import group_by, parquet, sort
+
+
+def build():
+    orders = parquet("orders.parquet", name="orders")
+    return sort(group_by(orders, "o_orderstatus", aggs={"n": count(), "total": sum_("o_totalprice")}), "total desc")
+""",
+    "clean": """from tarnwell.plans.nodes import csv, deduplicate, handle_nulls, quality_check, write_parquet
+
+
+def build():
+    people = deduplicate(csv("people.csv"), "id", keep="last", order_by=("id",))
+    checked = quality_check(handle_nulls(people, "drop", "id"), {"id": ("not_null", "unique")})
+    return write_parquet(checked, "people.parquet")
+""",
+}
+
+
+def _examples(args) -> int:
+    if args.write:
+        name, path = args.write
+        Path(path).write_text(EXAMPLES[name] if name in EXAMPLES else _no_example(name))
+    elif args.show:
+        print(EXAMPLES[args.show] if args.show in EXAMPLES else _no_example(args.show))
+    else:
+        print("\n".join(EXAMPLES))
+    return 0
+
+
+def _no_example(name: str):
+    raise ValueError(f"no example {name!r}; there are {', '.join(EXAMPLES)}")
+
+
+def _engines(args) -> int:
+    from tarnwell.sources.readers import READERS
+
+    spark = _session()
+    print(f"spark {spark.version}: every plan; sources {', '.join(sorted(READERS))}")
+    return 0
+
+
 def _version(args) -> int:
     from tarnwell import __version__
 
@@ -104,4 +160,4 @@ def _version(args) -> int:
     return 0
 
 
-_COMMANDS = {"run": _run, "explain": _explain, "profile": _profile, "policy": _policy, "doctor": _doctor, "version": _version}
+_COMMANDS = {"examples": _examples, "engines": _engines, "run": _run, "explain": _explain, "profile": _profile, "policy": _policy, "doctor": _doctor, "version": _version}

@@ -34,8 +34,8 @@ def lookup(name: str) -> Callable:
     low = name.lower()
     if low in _REGISTERED:
         return _REGISTERED[low]
-    if low in ("date_trunc",):
-        return lambda unit, x: F.date_trunc(unit, x)
+    if low == "if":
+        return lambda test, yes, no: F.when(test, yes).otherwise(no)
     low = _OTHER.get(low, low)
     if low in _SAME or low in _OTHER.values():
         return getattr(F, low)

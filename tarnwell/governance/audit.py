@@ -11,8 +11,9 @@ from pathlib import Path
 
 #: The events that a record may hold.
 EVENTS = frozenset(
-    """run_started policy_loaded plan_secured barriers_verified lowered quality_passed declassified suppressed
-    written denied failed completed""".split()
+    """run_started policy_loaded policy_bound policy_bind_failed plan_secured barriers_verified rows_restricted
+    columns_restricted node_lowered lowered quality_passed declassified suppressed egress_attempted written denied
+    failed degraded completed""".split()
 )
 START = "0" * 64
 REDACTED = "[redacted]"
@@ -73,11 +74,39 @@ def verify(entries: Iterable[dict]) -> bool:
     return first_break(entries) is None
 
 
-def view(entries: Iterable[dict], capabilities: Iterable[str]) -> list[dict]:
+#: Details that count rows a subject may not see.
+COUNTS = ("groups", "suppressed", "rows_before", "rows_after", "rows_removed")
+
+
+def view(entries: Iterable[dict], capabilities: Iterable[str], subject: str | None = None) -> list[dict]:
     """The entries as someone with ``capabilities`` may see them.
 
-    ``details`` shows them all; ``event:<name>`` shows one kind's.  What may
-    not be seen says so, which differs from what isn't there.
+    ``details`` shows them all but counts of hidden rows, which need ``counts``;
+    ``event:<name>`` shows one kind's.  With ``subject`` runs of others are left
+    out unless ``others`` is among the capabilities.  What may not be seen says
+    so, which differs from what isn't there.
     """
-    may = set(capabilities)
-    return [e if "details" in may or f"event:{e['event']}" in may else e | {"details": REDACTED} for e in entries]
+    may, out, own = set(capabilities), [], True
+    for e in entries:
+        if e["event"] == "run_started":
+            own = subject is None or "others" in may or e["details"].get("subject") == subject
+        if not own:
+            continue
+        if "details" not in may and f"event:{e['event']}" not in may:
+            out.append(e | {"details": REDACTED})
+        elif "counts" not in may and isinstance(e["details"], dict):
+            out.append(e | {"details": {k: REDACTED if k in COUNTS else v for k, v in e["details"].items()}})
+        else:
+            out.append(e)
+    return out
+
+
+def restriction(entries: Iterable[dict]) -> str:
+    """Whether row rules governed a run: ``applied``, ``not_applicable``, ``not_evaluated`` (the
+    policy was switched off) or ``unknown`` (the run ended before that was settled)."""
+    seen = {e["event"]: e["details"] for e in entries}
+    if seen.get("policy_bound", {}).get("enforced") is False:
+        return "not_evaluated"
+    if "barriers_verified" not in seen:
+        return "unknown"
+    return "applied" if seen["barriers_verified"].get("rules") else "not_applicable"

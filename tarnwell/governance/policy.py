@@ -91,7 +91,7 @@ class Policy:
                 actions[f.name] = "drop"
             elif f.name in mask:
                 actions[f.name] = mask[f.name]
-            elif LADDER.index(f.sensitivity) >= LADDER.index(self.mask_threshold):
+            elif self.mask_threshold in LADDER and LADDER.index(f.sensitivity) >= LADDER.index(self.mask_threshold):
                 actions[f.name] = self.mask_default
         return actions
 

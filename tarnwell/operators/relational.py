@@ -145,7 +145,7 @@ def aggregate_column(a: Agg) -> Column:
     if a.arg is None:
         if name != "count" or a.distinct:
             raise ValueError(f"{a.func} needs an argument")
-        return F.count("*")
+        return F.count(F.lit(1))
     x = a.arg.column()
     order = F.struct(*[_c(n) for n in a.order_by]) if a.order_by else None
     some = x.isNotNull()
@@ -175,6 +175,8 @@ def aggregate_column(a: Agg) -> Column:
             return F.approx_count_distinct(x, 0.016)
         case "stddev":
             return F.stddev(x)
+        case "variance":
+            return F.variance(x)
         case "median":
             return F.median(x)
     raise ValueError(f"unknown aggregate {a.func!r}")
@@ -197,10 +199,29 @@ def aggregate(df: DataFrame, aggs: dict[str, Agg]) -> DataFrame:
     return df.agg(*[aggregate_column(a).alias(n) for n, a in aggs.items()])
 
 
-def grouping_sets(df: DataFrame, keys: Sequence[str], aggs: dict[str, Agg], kind: str = "rollup") -> DataFrame:
-    """``rollup`` or ``cube``; a key that a row sums over is NULL, and ``grouping_id`` tells which."""
-    sets = {"rollup": df.rollup, "cube": df.cube}[kind](*[_c(k) for k in keys])
-    return sets.agg(*[aggregate_column(a).alias(n) for n, a in aggs.items()], F.grouping_id().cast("int").alias("grouping_id"))
+def grouping_sets(df: DataFrame, keys: Sequence[str], aggs: dict[str, Agg], kind: str = "rollup", sets: Sequence[Sequence[str]] = (), k: int | None = None) -> DataFrame:
+    """``rollup``, ``cube`` or a list of key ``sets``; a key that a row sums over is NULL, and
+    ``grouping_id`` tells which.  With ``k`` rows of fewer contributing rows are left out."""
+    require(df, [*keys, *[c for s in sets for c in s]])
+    if kind == "sets":
+        if odd := [c for s in sets for c in s if c not in keys]:
+            raise ValueError(f"a set may name the keys only, not {odd[0]!r}")
+        grouped = df.groupingSets([[_c(c) for c in s] for s in sets], *[_c(x) for x in keys])
+    elif kind in ("rollup", "cube"):
+        grouped = getattr(df, kind)(*[_c(x) for x in keys])
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    found = grouped.agg(*[aggregate_column(a).alias(n) for n, a in aggs.items()], F.grouping_id().cast("int").alias("grouping_id"), F.count("*").alias("_contributing"))
+    return (found if k is None else found.where(F.col("_contributing") >= k)).drop("_contributing")
+
+
+def pivot(df: DataFrame, keys: Sequence[str], column: str, values: Sequence[object], agg: Agg) -> DataFrame:
+    """One row per keys and one column per value, with the aggregate of the rows that have it.
+
+    The values are given, so that no job has to look for them.
+    """
+    require(df, [*keys, column])
+    return df.groupBy(*[_c(x) for x in keys]).pivot(column, list(values)).agg(aggregate_column(agg))
 
 
 def union(first: DataFrame, *more: DataFrame) -> DataFrame:
@@ -250,7 +271,11 @@ def deduplicate(df: DataFrame, keys: Sequence[str] = (), keep: str = "first", or
 
 
 def cast_safe(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Cast, or fail: malformed text, overflow and cut-off fractions raise."""
+    """Cast, or fail: malformed text, overflow, cut-off fractions and lost digits raise.
+
+    A number must come back as it was; that holds for whole numbers too, of
+    which a double keeps 53 bits only.
+    """
     require(df, types)
     kinds = dict(df.dtypes)
 
@@ -260,6 +285,10 @@ def cast_safe(df: DataFrame, types: dict[str, str]) -> DataFrame:
         lost = x.isNotNull() & done.isNull()
         if kinds[name] in ("float", "double") or kinds[name].startswith("decimal"):
             lost = lost | ((done.try_cast(kinds[name]) != x) & ~F.isnan(x.cast("double")))
+        elif kinds[name] in ("tinyint", "smallint", "int", "bigint") and to.lower() not in ("string", "boolean"):
+            # 2**63 and above would come back as the largest number
+            high = F.coalesce(done.try_cast("double") >= F.lit(2.0**63), F.lit(False))
+            lost = lost | (x.isNotNull() & (high | ~done.try_cast(kinds[name]).eqNullSafe(x)))
         bad = F.raise_error(F.concat(F.lit(f"cannot cast {name} to {to} without loss: "), x.cast("string")))
         return F.when(lost, bad.cast(to)).otherwise(done).alias(name)
 

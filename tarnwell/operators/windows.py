@@ -116,13 +116,46 @@ def window_column(w: WindowFunction, integral: bool = False) -> Column:
     raise ValueError(f"unknown aggregate {a.func!r}")
 
 
-def with_windows(df: DataFrame, functions: list[WindowFunction]) -> DataFrame:
-    """New columns appended; functions over the same partition share one sort."""
+def _whole_partition(w: WindowFunction) -> bool:
+    return isinstance(w.func, Agg) and w.func.distinct and parse_frame(w.frame) == (Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _with_distinct(df: DataFrame, w: WindowFunction) -> DataFrame:
+    """A DISTINCT aggregate over whole partitions: grouped once and joined back, one value a
+    partition instead of a set a row.  NULL is a partition like any other."""
+    from tarnwell.operators.relational import aggregate_column
+
+    keys = [f"_w{i}" for i in range(len(w.partition_by))]
+    grouped = df.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in zip(w.partition_by, keys, strict=True)])
+    found = grouped.agg(aggregate_column(w.func).alias("_found"))
+    same = F.lit(True)
+    for c, k in zip(w.partition_by, keys, strict=True):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(k))
+    joined = df.join(found, same, "left") if keys else df.join(F.broadcast(found))  # one row
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_found").alias(w.output))
+
+
+def with_windows(df: DataFrame, functions: list[WindowFunction], k: int | None = None) -> DataFrame:
+    """New columns appended; functions over the same partition share one sort.
+
+    With ``k`` an aggregate over a frame of fewer rows is NULL.
+    """
     whole = ("tinyint", "smallint", "int", "bigint")
     kinds = dict(df.dtypes)
+    names = [*df.columns, *[w.output for w in functions]]
+    for w in functions if k is None else ():
+        if _whole_partition(w):
+            df = _with_distinct(df, w)
+    functions = [w for w in functions if k is not None or not _whole_partition(w)]
 
     def integral(w: WindowFunction) -> bool:
         names = w.func.arg.names() if isinstance(w.func, Agg) and w.func.arg is not None else ()
         return all(kinds.get(n) in whole for n in names)
 
-    return df.select("*", *[window_column(w, integral(w)).alias(w.output) for w in functions])
+    def column(w: WindowFunction) -> Column:
+        made = window_column(w, integral(w))
+        if k is None or not isinstance(w.func, Agg):
+            return made
+        return F.when(F.count("*").over(_spec(w).rowsBetween(*parse_frame(w.frame))) >= k, made)
+
+    return df.select("*", *[column(w).alias(w.output) for w in functions]).select(*[F.col(f"`{c}`") for c in names])

@@ -6,18 +6,19 @@ known to be right: quality gates, and the writes that the plan asks for.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark import StorageLevel
 
 from tarnwell.functions import udf as udfs
-from tarnwell.governance import disclosure, tags as tagging
+from tarnwell.governance import disclosure, rls, tags as tagging
 from tarnwell.governance.policy import ANONYMOUS, BASELINE, Policy, Subject
 from tarnwell.operators import relational as rel
 from tarnwell.operators.windows import with_windows
 from tarnwell.plans import nodes as n
-from tarnwell.plans.expr import Agg
+from tarnwell.plans.expr import Agg, Binary
 from tarnwell.schema import Schema
 from tarnwell.sources import readers, writers
 
@@ -29,8 +30,14 @@ class Context:
     subject: Subject = ANONYMOUS
     #: Called with (event, details) as the plan is carried out.
     on_event: object = None
+    #: What :meth:`release` frees once the result has been used.
     cached: list[DataFrame] = field(default_factory=list)
 
+    def release(self) -> None:
+        """Free what the plan keeps in memory or on disk; its results can still be computed, anew."""
+        while self.cached:
+            self.cached.pop().unpersist()
+
     def say(self, event: str, **details) -> None:
         if self.on_event:
             self.on_event(event, details)
@@ -48,10 +55,35 @@ class Lowered:
         return Schema.of(self.df, {c: self.tags.get(c, frozenset()) for c in self.df.columns})
 
 
+def pushed(plan: n.Node) -> n.Node:
+    """The plan with predicates directly above SQL scans inside these, unless a limit comes first there.
+
+    Nothing goes through a barrier: a database might evaluate it on hidden rows.
+    """
+    uses = Counter(id(i) for node in plan.walk() for i in node.inputs)
+    change: dict[int, n.Node] = {}
+    for node in plan.walk():
+        if not (isinstance(node, n.Filter) and isinstance(node.input, n.Scan) and node.input.kind == "sql"):
+            continue
+        options = dict(node.input.options)
+        if uses[id(node.input)] > 1 or options.get("limit") is not None:
+            continue
+        try:
+            node.predicate.sql()
+        except ValueError:
+            continue
+        old = options.get("predicate")
+        options["predicate"] = node.predicate if old is None else Binary("AND", old, node.predicate)
+        change[id(node)] = replace(node, input=replace(node.input, options=tuple(options.items())))
+    return rls.rewired(plan, change) if change else plan
+
+
 def lower(plan: n.Node, context: Context) -> Lowered:
+    plan = pushed(plan)
     done: dict[int, Lowered] = {}
     for node in plan.walk():
-        done[id(node)] = _lower(node, [done[id(i)] for i in node.inputs], context)
+        out = done[id(node)] = _lower(node, [done[id(i)] for i in node.inputs], context)
+        context.say("node_lowered", node=type(node).__name__, columns=out.df.columns)
     return done[id(plan)]
 
 
@@ -67,7 +99,8 @@ def _lower(node: n.Node, ins: list[Lowered], context: Context) -> Lowered:
             df = readers.read(context.spark, node)
             return Lowered(df, {f.name: f.tags for f in Schema.of(df).fields})
         case n.Barrier():
-            return Lowered(rel.filter_(a.df, node.predicate, safe=True), a.tags, True)
+            context.say("rows_restricted", rule=node.rule)
+            return Lowered(rel.filter_(a.df, rls.retyped(node.predicate, a.df), safe=True), a.tags, True)
         case n.Filter():
             return Lowered(rel.filter_(a.df, node.predicate, safe), a.tags, safe)
         case n.Project():
@@ -87,7 +120,11 @@ def _lower(node: n.Node, ins: list[Lowered], context: Context) -> Lowered:
         case n.Group():
             return _group(node, a, context)
         case n.Windowed():
-            df = with_windows(a.df, list(node.functions))
+            k = context.policy.least_group(context.subject)
+            guarded = [w.output for w in node.functions if isinstance(w.func, Agg)] if k is not None else []
+            if guarded:
+                context.say("suppressed", k=k, windows=guarded)
+            df = with_windows(a.df, list(node.functions), k)
             tags = dict(a.tags)
             for w in node.functions:
                 own = tagging.of_aggregate(w.func, a.tags) if isinstance(w.func, Agg) else a.tags.get(w.arg or "", frozenset())
@@ -126,14 +163,26 @@ def _lower(node: n.Node, ins: list[Lowered], context: Context) -> Lowered:
         case n.Function():
             df = udfs.apply(a.df, node.function, node.output, node.mode, node.returns, node.whole)
             return Lowered(df, {**_kept(a.tags, df), node.output: tagging.everything(a.tags)}, safe)
+        case n.TableFunction():
+            df = udfs.apply_table(a.df, node.function, node.returns, node.keep)
+            every = tagging.everything(a.tags)
+            return Lowered(df, {c: a.tags.get(c, frozenset()) if c in node.keep else every for c in df.columns}, safe)
+        case n.GroupingSets():
+            df = rel.grouping_sets(a.df, node.keys, dict(node.aggs), node.kind, node.sets, context.policy.least_group(context.subject))
+            tags = {c: a.tags.get(c, frozenset()) for c in node.keys} | {c: tagging.of_aggregate(x, a.tags) for c, x in node.aggs}
+            return Lowered(df, tags | {"grouping_id": frozenset()}, safe)
         case n.Cache():
             df = a.df.persist(StorageLevel.MEMORY_AND_DISK)
             context.cached.append(df)
             return Lowered(df, a.tags, safe)
         case n.Write():
             schema = a.schema
+            context.say("egress_attempted", target=node.path, sensitivity=schema.sensitivity)
             context.policy.check_egress(node.path, schema)
-            out = context.policy.protect(a.df, schema, context.subject)
+            allowed = rls.written_rows(a.df, node, context.policy, context.subject)
+            out = context.policy.protect(allowed, schema, context.subject)
+            if hidden := context.policy.column_actions(schema, context.subject):
+                context.say("columns_restricted", columns=hidden)
             writers.write(out, node.kind, node.path, node.mode, dict(node.options))
             context.say("written", kind=node.kind, target=node.path, columns=out.columns)
             return Lowered(out, _kept(a.tags, out), safe)

@@ -10,8 +10,11 @@ from __future__ import annotations
 import hashlib
 import importlib.util
 import inspect
+import os
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields, is_dataclass
+from fnmatch import fnmatchcase
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -41,9 +44,17 @@ class Node:
         yield from visit(self)
 
     def semantic_id(self) -> str:
-        """A hash of what the plan computes; the same for equal plans."""
+        """A hash of what the plan computes; the same for equal plans.
+
+        Functions count with their source and what they capture.
+        """
         return hashlib.sha256(_text(self).encode()).hexdigest()
 
+    def cache_key(self) -> str:
+        """As :meth:`semantic_id`, and different once a local file that is read has another size or time."""
+        states = [f"{s.location}:{state}" for s in self.walk() if isinstance(s, Scan) for state in s.state()]
+        return hashlib.sha256("\n".join([self.semantic_id(), *states]).encode()).hexdigest()
+
     # fluent forms of the builders
     def filter(self, predicate):
         return filter_(self, predicate)
@@ -91,14 +102,39 @@ def _text(v) -> str:
         return f"[{', '.join(map(_text, v))}]"
     if isinstance(v, dict):
         return f"{{{', '.join(f'{k!r}: {_text(x)}' for k, x in v.items())}}}"
+    if inspect.isfunction(v):
+        return _function_text(v, frozenset())
     if callable(v):
         try:
-            return f"fn:{inspect.getsource(v)}"
+            return f"fn:{inspect.getsource(type(v) if not inspect.isclass(v) else v)}:{_text(getattr(v, '__dict__', None)) if not inspect.isclass(v) else ''}"
         except (OSError, TypeError) as e:
             raise ValueError(f"{v!r} has no source to identify it by") from e
     return repr(v)
 
 
+def _function_text(f, above: frozenset[int]) -> str:
+    """Source, defaults, captured values and the plain globals and functions that a function uses."""
+    if id(f) in above:
+        return f"fn:{f.__qualname__}"
+    above = above | {id(f)}
+    try:
+        source = inspect.getsource(f)
+    except (OSError, TypeError) as e:
+        raise ValueError(f"{f!r} has no source to identify it by") from e
+    seen = inspect.getclosurevars(f)
+    used = {**seen.nonlocals, **seen.globals}
+    texts = []
+    for name in sorted(used):
+        v = used[name]
+        if inspect.isfunction(v):
+            texts.append(f"{name}={_function_text(v, above)}")
+        elif inspect.ismodule(v) or inspect.isclass(v) or inspect.isbuiltin(v):
+            texts.append(f"{name}={getattr(v, '__name__', v)}")
+        else:
+            texts.append(f"{name}={_text(v)}")
+    return f"fn:{source}|{_text(f.__defaults__ or ())}|{_text(f.__kwdefaults__ or {})}|{'; '.join(texts)}"
+
+
 @dataclass(frozen=True, eq=False)
 class Scan(Node):
     """``kind`` is a key of :data:`tarnwell.sources.readers.READERS`, or ``dataframe``."""
@@ -118,6 +154,32 @@ class Scan(Node):
                 return str(options[key])
         return self.name or (Path(str(self.location)).stem if isinstance(self.location, (str, Path)) else self.kind)
 
+    def state(self) -> list[str]:
+        """Time and size of the local files that are read; empty for anything else."""
+        if not isinstance(self.location, (str, Path)):
+            return []
+        place = str(self.location).removeprefix("sqlite:").removeprefix("file://")
+        files = [os.path.join(d, f) for d, _, names in os.walk(place) for f in names] if os.path.isdir(place) else [place]
+        return [f"{f}:{os.stat(f).st_mtime_ns}:{os.stat(f).st_size}" for f in sorted(files) if os.path.isfile(f)]
+
+    def reads(self, source: str) -> bool:
+        """Whether this may be the source of that name: by its own name, or by where it reads, whatever it is called.
+
+        A place counts with each part of its path, with or without suffix and
+        wildcards; a query with each word of it; a DataFrame with its files.
+        """
+        options = dict(self.options)
+        names = {self.name, *(str(options[k]) for k in ("table", "collection") if options.get(k))}
+        names |= {n.rpartition(".")[2] for n in names}
+        names |= set(re.findall(r"\w+", options.get("query") or ""))
+        places = [str(self.location)] if isinstance(self.location, (str, Path)) else []
+        if isinstance(self.location, DataFrame):
+            places = list({f.rpartition("/")[0] for f in self.location.inputFiles()} | set(self.location.inputFiles()[:1]))
+        parts = {p for place in places for p in re.split(r"[/\\]", place) if p}
+        parts |= {Path(p).stem for p in parts}
+        low = source.lower()
+        return low in {n.lower() for n in names if n} or any(fnmatchcase(low, p.lower()) for p in parts)
+
 
 @dataclass(frozen=True, eq=False)
 class Filter(Node):
@@ -253,6 +315,25 @@ class Function(Node):
     whole: bool = False
 
 
+@dataclass(frozen=True, eq=False)
+class TableFunction(Node):
+    input: Node
+    function: Callable
+    returns: str
+    keep: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True, eq=False)
+class GroupingSets(Node):
+    """``kind`` is ``rollup``, ``cube`` or ``sets``; ``sets`` lists the key sets of the last."""
+
+    input: Node
+    keys: tuple[str, ...]
+    aggs: tuple[tuple[str, Agg], ...]
+    kind: str = "rollup"
+    sets: tuple[tuple[str, ...], ...] = ()
+
+
 @dataclass(frozen=True, eq=False)
 class Cache(Node):
     input: Node
@@ -280,22 +361,35 @@ def parquet(path: str, columns: Sequence[str] = (), name: str = "") -> Scan:
     return Scan("parquet", str(path), columns=tuple(columns), name=name)
 
 
-def csv(path: str, delimiter: str = ",", schema: str | None = None, columns: Sequence[str] = (), name: str = "") -> Scan:
-    return Scan("csv", str(path), (("delimiter", delimiter), ("schema", schema)), tuple(columns), name)
+def csv(path: str, delimiter: str = ",", schema: str | None = None, columns: Sequence[str] = (), name: str = "", multi_line: bool | None = None) -> Scan:
+    """Without ``multi_line`` it is found out whether fields have newlines; files that have none are split among tasks."""
+    return Scan("csv", str(path), (("delimiter", delimiter), ("schema", schema), ("multi_line", multi_line)), tuple(columns), name)
 
 
 def json(path: str, array: bool = False, columns: Sequence[str] = (), name: str = "") -> Scan:
     return Scan("json", str(path), (("array", array),), tuple(columns), name)
 
 
-def excel(path: str, sheet: str | None = None, cell_range: str | None = None, header_row: int | None = None, formulas: bool = False, name: str = "") -> Scan:
-    return Scan("excel", str(path), (("sheet", sheet), ("cell_range", cell_range), ("header_row", header_row), ("formulas", formulas)), name=name)
+def excel(
+    path: str, sheet: str | None = None, cell_range: str | None = None, header_row: int | None = None, formulas: bool = False, name: str = "",
+    named_range: str | None = None, table: str | None = None,
+) -> Scan:
+    """One of ``cell_range``, ``named_range`` (a defined name of the workbook) and ``table`` may say what is read."""
+    if sum(x is not None for x in (cell_range, named_range, table)) > 1:
+        raise ValueError("give one of cell_range, named_range and table")
+    options = {"sheet": sheet, "cell_range": cell_range, "header_row": header_row, "formulas": formulas, "named_range": named_range, "table": table}
+    return Scan("excel", str(path), tuple(options.items()), name=name)
 
 
-def sql(connection: str, table: str | None = None, query: str | None = None, columns: Sequence[str] = (), predicate: Expr | None = None, limit: int | None = None, name: str = "") -> Scan:
+def sql(
+    connection: str, table: str | None = None, query: str | None = None, columns: Sequence[str] = (), predicate: Expr | None = None,
+    limit: int | None = None, name: str = "", partition: tuple[str, object, object, int] | None = None,
+) -> Scan:
+    """``partition`` is ``(column, lower, upper, n)``: ranges that JDBC reads in parallel."""
     if bool(table) == bool(query):
         raise ValueError("give a table or a query")
-    return Scan("sql", connection, (("table", table), ("query", query), ("predicate", predicate), ("limit", limit)), tuple(columns), name)
+    options = {"table": table, "query": query, "predicate": predicate, "limit": limit, "partition": partition}
+    return Scan("sql", connection, tuple(options.items()), tuple(columns), name)
 
 
 def mongo(dump: str, collection: str, match: Expr | None = None, name: str = "") -> Scan:
@@ -400,6 +494,15 @@ def udf(node: Node, function: Callable, name: str | None = None, mode: str = "au
     return Function(node, function, output_name(function, name), mode_of(function, mode), returns, whole)
 
 
+def table_function(node: Node, function: Callable, returns: str, keep: Sequence[str] = ()) -> TableFunction:
+    """Any number of rows for each row; ``returns`` is their schema as DDL."""
+    return TableFunction(node, function, returns, tuple(keep))
+
+
+def grouping_sets(node: Node, *keys: str, aggs: dict[str, Agg], kind: str = "rollup", sets: Sequence[Sequence[str]] = ()) -> GroupingSets:
+    return GroupingSets(node, tuple(keys), tuple(aggs.items()), kind, tuple(map(tuple, sets)))
+
+
 def cache(node: Node) -> Cache:
     return Cache(node)
 

@@ -5,8 +5,6 @@ Sums of doubles are rounded, since the order of addition differs by engine.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,50 +16,15 @@ from tarnwell.operators import relational as rel
 from tarnwell.operators.windows import WindowFunction
 from tarnwell.plans import nodes as n
 from tarnwell.plans.expr import Agg, and_, col, count, first, func, last, list_, lit, max_, mean, min_, not_, or_, sum_
+from tarnwell import semantics  # noqa: F401  (registers its queries)
 from tarnwell.plans.lower import Context, lower
+from tarnwell.registry import FRAMES, SQL, table as _t, tables as _tables
+from tarnwell.registry import frame as _frame
+from tarnwell.registry import plan as _plan
+from tarnwell.registry import shared as _shared
 from tarnwell.service import Service
 from tarnwell.streaming import events as streams
 
-Plan = Callable[[Callable[[str], n.Node]], n.Node]
-_PLANS: dict[str, Plan] = {}
-_FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _plan(sql: str | None = None):
-    """Register a plan over ``t(name)`` under its function's name."""
-
-    def add(make: Plan) -> Plan:
-        _PLANS[make.__name__] = make
-        if sql:
-            _SQL[make.__name__] = sql
-        return make
-
-    return add
-
-
-def _frame(sql: str | None = None):
-    def add(make):
-        _FRAMES[make.__name__] = make
-        if sql:
-            _SQL[make.__name__] = sql
-        return make
-
-    return add
-
-
-def _tables(sf_dir: str) -> Callable[[str], n.Node]:
-    return lambda name: n.parquet(f"{sf_dir}/{name}.parquet", name=name)
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def run_plan(spark: SparkSession, sf_dir: str, make: Plan) -> DataFrame:
-    return lower(make(_tables(sf_dir)), Context(spark)).df
-
-
 # scans, projections, filters --------------------------------------------------
 
 
@@ -508,11 +471,6 @@ def profile_columns(spark, sf_dir):
 # sources and sinks ------------------------------------------------------------
 
 
-def _shared(spark: SparkSession, tag: str) -> str:
-    """A new place in the folder that driver and executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tarnwell-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def _there_and_back(kind: str, mode: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     path = _shared(spark, f"io-{kind}")
     data = n.project(_tables(sf_dir)("customer"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
@@ -617,9 +575,8 @@ def events_sessions(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = {name: (lambda spark, sf_dir, make=make: run_plan(spark, sf_dir, make)) for name, make in _PLANS.items()}
-    return made | _FRAMES
+    return dict(FRAMES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

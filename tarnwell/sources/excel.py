@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import posixpath
 import re
 import zipfile
 from datetime import datetime, timedelta
@@ -50,13 +51,11 @@ def _grid(path: str, sheet: str | None, formulas: bool) -> list[list[object]]:
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))]
         dates = _date_styles(z)
-        book = ET.fromstring(z.read("xl/workbook.xml"))
-        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = {s.get("name"): targets[s.get(f"{{{_NS['r']}}}id")] for s in book.iter(f"{{{_NS['m']}}}sheet")}
+        sheets = _sheets(z)
         if sheet is not None and sheet not in sheets:
             raise SourceUnavailable(f"no sheet {sheet!r}; there are {list(sheets)}")
         target = sheets[sheet] if sheet is not None else next(iter(sheets.values()))
-        root = ET.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+        root = ET.fromstring(z.read(target))
     grid: list[list[object]] = []
     for row in root.iter(f"{{{_NS['m']}}}row"):
         at = int(row.get("r", len(grid) + 1)) - 1
@@ -70,6 +69,50 @@ def _grid(path: str, sheet: str | None, formulas: bool) -> list[list[object]]:
     return grid
 
 
+def _sheets(z: zipfile.ZipFile) -> dict[str, str]:
+    """Sheet names and the parts that hold them, in order."""
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    found = {s.get("name"): targets[s.get(f"{{{_NS['r']}}}id")] for s in book.iter(f"{{{_NS['m']}}}sheet")}
+    return {n: t.lstrip("/") if t.startswith("/") else f"xl/{t}" for n, t in found.items()}
+
+
+def named_range(path: str, name: str) -> tuple[str, str]:
+    """The sheet and cells that a defined name stands for."""
+    with zipfile.ZipFile(path) as z:
+        book = ET.fromstring(z.read("xl/workbook.xml"))
+    for d in book.iter(f"{{{_NS['m']}}}definedName"):
+        if (d.get("name") or "").lower() == name.lower():
+            m = re.fullmatch(r"(?:'((?:[^']|'')+)'|([^!']+))!(\$?[A-Za-z]+\$?\d+(?::\$?[A-Za-z]+\$?\d+)?)", (d.text or "").strip())
+            if not m:
+                raise SourceUnavailable(f"{name!r} stands for {d.text!r}, which isn't one range")
+            cells = m[3] if ":" in m[3] else f"{m[3]}:{m[3]}"
+            return (m[1] or m[2]).replace("''", "'"), cells
+    raise SourceUnavailable(f"no defined name {name!r} in {path}")
+
+
+def table_range(path: str, name: str) -> tuple[str, str]:
+    """The sheet and cells of a table, header included."""
+    with zipfile.ZipFile(path) as z:
+        for sheet, part in _sheets(z).items():
+            folder, _, file = part.rpartition("/")
+            rels = f"{folder}/_rels/{file}.rels"
+            if rels not in z.namelist():
+                continue
+            for r in ET.fromstring(z.read(rels)):
+                if not (r.get("Type") or "").endswith("/table"):
+                    continue
+                target = r.get("Target") or ""
+                target = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+                found = ET.fromstring(z.read(target))
+                if name.lower() in ((found.get("name") or "").lower(), (found.get("displayName") or "").lower()):
+                    return sheet, found.get("ref")
+    raise SourceUnavailable(f"no table {name!r} in {path}")
+
+
+_range_of_name = named_range
+
+
 def _date_styles(z: zipfile.ZipFile) -> set[int]:
     if "xl/styles.xml" not in z.namelist():
         return set()
@@ -106,13 +149,21 @@ def _value(cell, shared, dates, formulas):
     return int(x) if x.is_integer() and "." not in v.text and "e" not in v.text.lower() else x
 
 
-def read_sheet(path: str, sheet: str | None = None, cell_range: str | None = None, header_row: int | None = None, formulas: bool = False) -> tuple[list[str], list[tuple]]:
-    """Column names and rows of a sheet.
+def read_sheet(
+    path: str, sheet: str | None = None, cell_range: str | None = None, header_row: int | None = None, formulas: bool = False,
+    named_range: str | None = None, table: str | None = None,
+) -> tuple[list[str], list[tuple]]:
+    """Column names and rows of a sheet, or of a range, defined name or table of it.
 
     The header is the given row (from 1) or the first of 20 rows with two or
     more cells that are all text.  A blank header is ``column_<n>``, a repeated
     one gets ``_1``, ``_2``.  Blank rows are skipped; error cells are NULL.
     """
+    if named_range or table:
+        if not Path(path).exists():
+            raise SourceUnavailable(f"no workbook at {path}")
+        sheet, cell_range = _range_of_name(path, named_range) if named_range else table_range(path, table)
+        header_row = header_row or 1
     grid = _grid(path, sheet, formulas)
     if cell_range:
         top, left, bottom, right = _range(cell_range)

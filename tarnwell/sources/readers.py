@@ -36,9 +36,30 @@ def _parquet(spark, path, options, columns):
     return spark.read.parquet(path)
 
 
+#: Bytes up to which a CSV is read whole by one task a file, so that quoted newlines need no search.
+SMALL_CSV = 32 << 20
+
+
+def _bytes_at(spark, path: str) -> int:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(s.getLen() if s.isFile() else system.getContentSummary(s.getPath()).getLength() for s in system.globStatus(place) or ())
+
+
+def _has_quoted_newlines(spark, path: str) -> bool:
+    """Whether some line has an odd number of quotes: one pass over splits, ended by the first."""
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def _csv(spark, path, options, columns):
+    """``multi_line`` None: large files are split among tasks unless some field has a newline in it."""
     reader = spark.read.option("header", True).option("sep", options.get("delimiter") or ",")
-    reader = reader.option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
+    multi = options.get("multi_line")
+    if multi is None:
+        multi = _bytes_at(spark, path) <= SMALL_CSV or _has_quoted_newlines(spark, path)
+    reader = reader.option("multiLine", bool(multi)).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
     if options.get("schema"):
         return reader.schema(options["schema"]).csv(path)
     return reader.option("inferSchema", True).csv(path)
@@ -61,22 +82,9 @@ def _arrow(spark, table, options, columns):
 
 def _mongo(spark, path, options, columns):
     """JSON lines of extended JSON: ``{"$oid": x}`` and the like become x, nested values JSON text."""
-    df = spark.read.json(path)
-    out = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.StructType):
-            names = f.dataType.names
-            if len(names) == 1 and names[0] in ("$oid", "$numberLong", "$numberInt", "$numberDouble", "$numberDecimal", "$date"):
-                kind = {"$numberLong": "bigint", "$numberInt": "int", "$numberDouble": "double", "$numberDecimal": "decimal(38,10)"}.get(names[0])
-                c = c.getField(names[0])
-                c = F.to_timestamp(c) if names[0] == "$date" else c.cast(kind) if kind else c
-            else:
-                c = F.to_json(c)
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
-            c = F.to_json(c)
-        out.append(c.alias(f.name))
-    df = df.select(*out)
+    from .mongo import plain
+
+    df = plain(spark.read.json(path))
     return df.where(options["match"].column()) if options.get("match") is not None else df
 
 
@@ -84,6 +92,7 @@ def _excel(spark, path, options, columns):
     from .excel import read_sheet, sheet_schema
 
     names, rows = read_sheet(path, **{k: v for k, v in options.items() if v is not None})
+    # a workbook is a bounded table: a sheet has 1,048,576 rows at most
     return spark.createDataFrame(rows, sheet_schema(names, rows))
 
 

@@ -7,6 +7,8 @@ whose pushdown Spark does itself.
 from __future__ import annotations
 
 import sqlite3
+import uuid
+from contextlib import closing
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from pyspark.sql import types as T
 from tarnwell.errors import SourceUnavailable
 from tarnwell.plans.expr import Expr
 
+from .writers import shared_folder
+
 # How a dialect quotes a name.
 QUOTES = {"sqlite": '"', "postgresql": '"', "mysql": "`"}
 
@@ -50,18 +54,8 @@ def build_select(dialect: str, table: str | None = None, query: str | None = Non
     return text, pushed
 
 
-def _kind(values) -> T.DataType:
-    seen = {type(v) for v in values if v is not None}
-    if seen == {int}:
-        return T.LongType()
-    if seen and seen <= {int, float}:
-        return T.DoubleType()
-    if seen == {bytes}:
-        return T.BinaryType()
-    return T.StringType()
-
-
-def read_sql(spark: SparkSession, connection: str, table=None, query=None, columns=(), predicate=None, limit=None) -> DataFrame:
+def read_sql(spark: SparkSession, connection: str, table=None, query=None, columns=(), predicate=None, limit=None, partition=None) -> DataFrame:
+    """``partition`` is ``(column, lower, upper, n)``: JDBC reads the ranges in ``n`` tasks."""
     dialect = dialect_of(connection)
     # a predicate that can't be pushed needs its columns here
     text, pushed = build_select(dialect, table, query, columns, predicate, limit)
@@ -70,32 +64,80 @@ def read_sql(spark: SparkSession, connection: str, table=None, query=None, colum
     if dialect == "sqlite":
         df = _sqlite(spark, connection.split(":", 1)[1], text)
     else:
-        url = connection if connection.startswith("jdbc:") else f"jdbc:{connection}"
-        df = spark.read.format("jdbc").option("url", url).option("query", text).load()
+        df = jdbc_reader(spark, connection, text, partition).load()
     if not pushed:
         df = df.where(predicate.column())
         df = df.limit(limit) if limit is not None else df
     return df
 
 
+def jdbc_reader(spark: SparkSession, connection: str, text: str, partition=None):
+    url = connection if connection.startswith("jdbc:") else f"jdbc:{connection}"
+    reader = spark.read.format("jdbc").option("url", url).option("fetchsize", BATCH_ROWS // 5)
+    if partition is None:
+        return reader.option("query", text)
+    column, lower, upper, n = partition
+    return reader.options(dbtable=f"({text}) q", partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(n))
+
+
+#: Rows of a SQLite result that the driver holds at once; more go to the shared folder in parts.
+BATCH_ROWS = 50_000
+
+
 def _sqlite(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """SQLite is a file on the driver's machine; its rows leave it in batches."""
     if not path or path == ":memory:" or not Path(path).exists():
         raise SourceUnavailable(f"no SQLite database at {path!r}")
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
         try:
+            cursor = db.execute(f"SELECT * FROM ({text}) LIMIT 0")
+            names = [d[0] for d in cursor.description]
+            kinds = _kinds(db, text, names)
             cursor = db.execute(text)
         except sqlite3.Error as e:
             raise SourceUnavailable(f"{path}: {e}") from e
-        names = [d[0] for d in cursor.description]
-        rows = cursor.fetchall()
-    kinds = [_kind(c) for c in zip(*rows, strict=True)] if rows else [T.StringType()] * len(names)
-    cast = {T.DoubleType: float, T.StringType: str}
-    rows = [tuple(None if v is None else cast.get(type(k), lambda x: x)(v) for v, k in zip(r, kinds, strict=True)) for r in rows]
-    return spark.createDataFrame(rows, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+        schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
+        batch = cursor.fetchmany(BATCH_ROWS)
+        more = cursor.fetchmany(BATCH_ROWS) if len(batch) == BATCH_ROWS else []
+        if not more:
+            return spark.createDataFrame(_arrow(batch, schema), schema)
+        place = f"{shared_folder(spark)}/sqlite-{uuid.uuid4().hex}"
+        while batch:
+            spark.createDataFrame(_arrow(batch, schema), schema).write.mode("append").parquet(place)
+            batch, more = more, cursor.fetchmany(BATCH_ROWS)
+    return spark.read.schema(schema).parquet(place)
+
+
+def _kinds(db, text: str, names: list[str]) -> list[T.DataType]:
+    """The columns' types from the storage classes of all their values, which SQLite finds itself."""
+    classes = ("integer", "real", "blob", "text")
+    asked = ", ".join(f"max(typeof({quoted(n, 'sqlite')}) = '{c}')" for n in names for c in classes)
+    row = db.execute(f"SELECT {asked} FROM ({text})").fetchone()
+    kinds = []
+    for k in range(len(names)):
+        integer, real, blob, some_text = (bool(x) for x in row[4 * k : 4 * k + 4])
+        if some_text or not (integer or real or blob):
+            kinds.append(T.StringType())
+        elif blob:
+            kinds.append(T.StringType() if integer or real else T.BinaryType())
+        else:
+            kinds.append(T.DoubleType() if real else T.LongType())
+    return kinds
+
+
+def _arrow(rows: list[tuple], schema: T.StructType):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape = to_arrow_schema(schema)
+    as_text = lambda v: v if isinstance(v, str) else v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)
+    cast = [as_text if isinstance(f.dataType, T.StringType) else float if isinstance(f.dataType, T.DoubleType) else (lambda v: v) for f in schema]
+    columns = [[None if v is None else c(v) for v in column] for c, column in zip(cast, zip(*rows, strict=True), strict=True)] if rows else [[] for _ in schema]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
 
 def tables(path: str) -> dict[str, list[tuple[str, str]]]:
     """The tables of a SQLite database with their columns and declared types."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
         names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
         return {n: [(r[1], r[2]) for r in db.execute(f"PRAGMA table_info({quoted(n, 'sqlite')})")] for n in names}

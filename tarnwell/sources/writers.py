@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.errors import SourceUnavailable
+
 MODES = ("overwrite", "append", "error", "ignore")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local master may do without."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise SourceUnavailable("spark.checkpoint.dir is not set; a cluster needs a folder that all its machines share")
+    return tempfile.mkdtemp(prefix="tarnwell-")
+
+
 def write(df: DataFrame, kind: str, path: str, mode: str = "overwrite", options: dict | None = None) -> None:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")

@@ -59,7 +59,7 @@ def lossy(source: T.DataType, target: T.DataType) -> str | None:
         if isinstance(target, INTEGERS):
             return None if _BITS[type(target)] >= _BITS[type(source)] else f"{_BITS[type(source)]} bits into {_BITS[type(target)]}"
         if isinstance(target, T.DoubleType):
-            return None
+            return None if _BITS[type(source)] <= 32 else "63 bits into 53"
         if isinstance(target, T.FloatType):
             return None if _BITS[type(source)] <= 16 else "more digits than a 32-bit float holds"
         if isinstance(target, T.DecimalType):
