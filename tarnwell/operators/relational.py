@@ -98,13 +98,22 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[str] | dict[str, str],
     return joined.select(*columns)
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, tolerance: object = None) -> DataFrame:
+def _slice(time: Column, kind: str, width: float) -> Column:
+    """The number of the slice of time that a value falls in; times count in seconds."""
+    return F.floor((time.cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else time.cast("double")) / F.lit(float(width)))
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, tolerance: object = None, slice_width: float | None = None) -> DataFrame:
     """To each left row the latest right row of the same keys at or before its time.
 
     One shuffle by key: both sides are stacked, sorted by time, and the last
     right row is carried forward.  ``tolerance`` is the largest allowed distance
     (a number, or an interval for timestamps); beyond it the right side is NULL.
     Left rows whose key or time is NULL match nothing.
+
+    With ``slice_width`` (in the unit of the time, seconds for timestamps) a key
+    is worked on in slices of time, each of which begins with the last right row
+    before it; so a key that most rows have is no single task.
     """
     require(left, [*by, left_time])
     require(right, [*by, right_time])
@@ -114,10 +123,20 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
         F.struct(*[_c(c) for c in dict.fromkeys([right_time, *added])]).alias("_r"), *[_c(k).alias(f"_k{i}") for i, k in enumerate(by)], _c(right_time).alias("_t"), F.lit(0).alias("_side")
     )
     keys = [f"_k{i}" for i in range(len(by))]
+    if slice_width is not None:
+        own = own.withColumn("_s", _slice(F.col("_t"), dict(left.dtypes)[left_time], slice_width))
+        other = other.withColumn("_s", _slice(F.col("_t"), dict(right.dtypes)[right_time], slice_width))
+        # one row a slice: its last right row, and before it that of the slices before
+        ends = other.groupBy(*keys, "_s").agg(F.max_by("_r", "_t").alias("_end"))
+        ends = ends.unionByName(own.select(*keys, "_s").distinct(), allowMissingColumns=True).groupBy(*keys, "_s").agg(F.first("_end", ignorenulls=True).alias("_end"))
+        before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("_r", F.last("_end", ignorenulls=True).over(before)).where(F.col("_r").isNotNull())
+        other = other.unionByName(carried.select("_r", *keys, F.lit(None).cast(other.schema["_t"].dataType).alias("_t"), F.lit(0).alias("_side"), "_s"))
+        keys = [*keys, "_s"]
     w = Window.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = own.unionByName(other, allowMissingColumns=True).withColumn("_m", F.last("_r", ignorenulls=True).over(w))
     fits = F.col("_t").isNotNull()
-    for k in keys:
+    for k in keys[: len(by)]:
         fits = fits & F.col(k).isNotNull()
     if tolerance is not None:
         fits = fits & (F.col("_t") - F.col(f"_m.`{right_time}`") <= F.lit(tolerance))

@@ -115,7 +115,7 @@ def _lower(node: n.Node, ins: list[Lowered], context: Context) -> Lowered:
             return Lowered(df, tagging.of_join(a.tags, b.tags, df.columns), safe)
         case n.AsOf():
             b = ins[1]
-            df = rel.asof_join(a.df, b.df, node.by, node.left_time, node.right_time, node.tolerance)
+            df = rel.asof_join(a.df, b.df, node.by, node.left_time, node.right_time, node.tolerance, node.slice_width)
             return Lowered(df, tagging.of_join(a.tags, b.tags, df.columns), safe)
         case n.Group():
             return _group(node, a, context)

@@ -219,6 +219,7 @@ class AsOf(Node):
     left_time: str
     right_time: str
     tolerance: object = None
+    slice_width: float | None = None
 
 
 @dataclass(frozen=True, eq=False)
@@ -422,8 +423,9 @@ def join(left: Node, right: Node, on, how: str = "inner") -> Join:
     return Join(left, right, pairs, how)
 
 
-def asof_join(left: Node, right: Node, by: Sequence[str], left_time: str, right_time: str, tolerance=None) -> AsOf:
-    return AsOf(left, right, tuple(by), left_time, right_time, tolerance)
+def asof_join(left: Node, right: Node, by: Sequence[str], left_time: str, right_time: str, tolerance=None, slice_width: float | None = None) -> AsOf:
+    """``slice_width`` cuts long keys into slices of time, each of them a task's work."""
+    return AsOf(left, right, tuple(by), left_time, right_time, tolerance, slice_width)
 
 
 def group_by(node: Node, *keys: str, aggs: dict[str, Agg] | None = None) -> Group:

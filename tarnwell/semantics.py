@@ -233,6 +233,17 @@ def join_anti_null_keys(t):
     return n.project(n.join(_holes(t), good, {"cust": "c_custkey"}, "anti"), "o_orderkey")
 
 
+_LAST = "(SELECT ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1)"
+
+
+@_plan(f"SELECT e.event_id, p.event_id AS purchase FROM events e ASOF LEFT JOIN {_LAST} p ON e.ts >= p.ts")
+def join_asof_sliced(t):
+    """Without a key all rows are one history, which is worked on in slices of six hours."""
+    bought = n.group_by(n.filter_(t("events"), col("event_type") == "purchase"), "ts", aggs={"purchase": max_("event_id")})
+    bought = n.project(bought, "purchase", at=col("ts"))
+    return n.project(n.asof_join(n.project(t("events"), "event_id", "ts"), bought, [], "ts", "at", slice_width=6 * 3600), "event_id", "purchase")
+
+
 @_plan("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate = o_orderdate")
 def join_two_keys(t):
     return n.project(n.join(t("lineitem"), t("orders"), {"l_orderkey": "o_orderkey", "l_shipdate": "o_orderdate"}), "l_orderkey", "l_linenumber", "o_custkey")
