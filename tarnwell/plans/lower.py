@@ -15,6 +15,7 @@ from pyspark import StorageLevel
 from tarnwell.functions import udf as udfs
 from tarnwell.governance import disclosure, rls, tags as tagging
 from tarnwell.governance.policy import ANONYMOUS, BASELINE, Policy, Subject
+from tarnwell.ledger import Ledger
 from tarnwell.operators import relational as rel
 from tarnwell.operators.windows import with_windows
 from tarnwell.plans import nodes as n
@@ -30,6 +31,8 @@ class Context:
     subject: Subject = ANONYMOUS
     #: Called with (event, details) as the plan is carried out.
     on_event: object = None
+    #: What went less well than it should.
+    ledger: Ledger = field(default_factory=Ledger)
     #: What :meth:`release` frees once the result has been used.
     cached: list[DataFrame] = field(default_factory=list)
 
@@ -55,7 +58,7 @@ class Lowered:
         return Schema.of(self.df, {c: self.tags.get(c, frozenset()) for c in self.df.columns})
 
 
-def pushed(plan: n.Node) -> n.Node:
+def pushed(plan: n.Node, ledger: Ledger | None = None) -> n.Node:
     """The plan with predicates directly above SQL scans inside these, unless a limit comes first there.
 
     Nothing goes through a barrier: a database might evaluate it on hidden rows.
@@ -70,7 +73,9 @@ def pushed(plan: n.Node) -> n.Node:
             continue
         try:
             node.predicate.sql()
-        except ValueError:
+        except ValueError as e:
+            if ledger is not None:
+                ledger.record("PREDICATE_NOT_PUSHED", node.input.scope, str(e))
             continue
         old = options.get("predicate")
         options["predicate"] = node.predicate if old is None else Binary("AND", old, node.predicate)
@@ -79,7 +84,7 @@ def pushed(plan: n.Node) -> n.Node:
 
 
 def lower(plan: n.Node, context: Context) -> Lowered:
-    plan = pushed(plan)
+    plan = pushed(plan, context.ledger)
     done: dict[int, Lowered] = {}
     for node in plan.walk():
         out = done[id(node)] = _lower(node, [done[id(i)] for i in node.inputs], context)

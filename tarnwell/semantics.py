@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tarnwell import errors, profile
 from tarnwell.governance import rls
 from tarnwell.governance.policy import BASELINE, DisclosureRule, Policy, RowRule, Subject, policy_from_dict
+from tarnwell.ledger import Ledger
 from tarnwell.operators import relational as rel
 from tarnwell.operators.windows import WindowFunction, parse_frame
 from tarnwell.plans import nodes as n
@@ -29,7 +30,7 @@ from tarnwell.registry import plan as _plan
 from tarnwell.registry import shared, table, tables
 from tarnwell.service import Service
 from tarnwell.sources.mongo import render_match
-from tarnwell.sources.sql import build_select
+from tarnwell.sources.sql import build_select, discovered
 
 #: Orders with NULLs: priorities of customers divisible by 7 and prices of those divisible by 5 are unknown.
 HOLES = """(SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 7 <> 0 THEN o_orderpriority END AS priority,
@@ -81,10 +82,10 @@ def null_tests(t):
     return n.project(_holes(t), "o_orderkey", **e)
 
 
-@_plan("SELECT CASE WHEN k % 2 = 0 THEN 'NaN'::DOUBLE ELSE k::DOUBLE END AS x, k FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 2 = 0")
+@_plan("SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0")
 def nan_as_null(t):
     x = func("if", func("pmod", col("o_orderkey"), lit(2)) == 0, lit(float("nan")), col("o_orderkey").cast("double"))
-    return n.filter_(n.project(t("orders"), x=x, k=col("o_orderkey")), IsNull(col("x"), or_nan=True))
+    return n.project(n.filter_(n.project(t("orders"), x=x, k=col("o_orderkey")), IsNull(col("x"), or_nan=True)), "k")
 
 
 @_plan("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS text, CAST(o_custkey AS DOUBLE) AS number, CAST(o_orderkey AS DECIMAL(20, 2)) AS exact, CAST(o_orderkey > 100 AS INTEGER) AS flag FROM orders")
@@ -214,6 +215,20 @@ def agg_percentile(spark, sf_dir):
     return out.select("o_orderstatus", "high", F.round("v", 0).alias("spread"))
 
 
+@_frame("SELECT o_orderstatus, round(count(*) / sum(1 / o_totalprice), 4) AS harmonic FROM orders GROUP BY 1")
+def agg_python(spark, sf_dir):
+    """A user's aggregate in Python: it sees a group's values as one Arrow array."""
+
+    @F.arrow_udf("double")
+    def harmonic(x: pa.Array) -> float:
+        import pyarrow.compute as pc
+
+        return len(x) / pc.sum(pc.divide(1.0, x)).as_py()
+
+    out = rel.group_by(table(spark, sf_dir, "orders"), ["o_orderstatus"], {"h": Agg("custom", col("o_totalprice"), custom=harmonic)})
+    return out.select("o_orderstatus", F.round("h", 4).alias("harmonic"))
+
+
 @_plan("SELECT DISTINCT o_orderstatus, o_custkey % 3 AS k FROM orders")
 def distinct_expressions(t):
     return n.deduplicate(n.project(t("orders"), "o_orderstatus", k=func("pmod", col("o_custkey"), lit(3))))
@@ -268,18 +283,18 @@ _OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN"
 
 
 @_plan(
-    f"""SELECT o_orderkey, avg(price) {_OVER} 2 PRECEDING AND CURRENT ROW) AS a, min(price) {_OVER} 1 PRECEDING AND 1 FOLLOWING) AS b,
+    f"""SELECT o_orderkey, round(avg(price) {_OVER} 2 PRECEDING AND CURRENT ROW), 4) AS a, min(price) {_OVER} 1 PRECEDING AND 1 FOLLOWING) AS b,
     last_value(priority IGNORE NULLS) {_OVER} 3 PRECEDING AND CURRENT ROW) AS c, CAST(sum(o_custkey) {_OVER} 1 FOLLOWING AND 3 FOLLOWING) AS BIGINT) AS d,
     count(price) {_OVER} UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM {HOLES}"""
 )
 def win_more_frames(t):
     w = {"partition_by": ("o_custkey",), "order_by": (("o_orderkey", True),)}
     made = n.window(
-        _holes(t), WindowFunction("a", mean("price"), frame="2 preceding and current row", **w), WindowFunction("b", min_("price"), frame="1 preceding and 1 following", **w),
+        _holes(t), WindowFunction("m", mean("price"), frame="2 preceding and current row", **w), WindowFunction("b", min_("price"), frame="1 preceding and 1 following", **w),
         WindowFunction("c", Agg("last", col("priority")), frame="3 preceding and current row", **w), WindowFunction("d", sum_("o_custkey"), frame="1 following and 3 following", **w),
         WindowFunction("e", count("price"), frame="unbounded preceding and 1 preceding", **w),
     )
-    return n.project(made, "o_orderkey", "a", "b", "c", "d", "e")
+    return n.project(made, "o_orderkey", "b", "c", "d", "e", a=func("round", col("m"), 4))
 
 
 @_plan(f"SELECT o_orderkey, array_to_string(list(priority) FILTER (priority IS NOT NULL) {_OVER} 2 PRECEDING AND CURRENT ROW), '|') AS l FROM {HOLES}")
@@ -577,6 +592,25 @@ def source_sqlite_query(spark, sf_dir):
     return lower(n.sql(f"sqlite:{_database(spark, sf_dir)}", query=query), Context(spark)).df
 
 
+@_frame(_values([("people", "c_custkey", "INTEGER", "bigint"), ("people", "c_name", "TEXT", "string"), ("people", "c_acctbal", "REAL", "double"), ("people", "c_mktsegment", "TEXT", "string")], "table_name, column_name, data_type, spark_type"))
+def sqlite_schema(spark, sf_dir):
+    return discovered(spark, f"sqlite:{_database(spark, sf_dir)}")
+
+
+@_frame(_values([("blocked", True), ("clean", False), ("pushed filter", False), ("unpushable filter", False)], "run, refused"))
+def ledgers(spark, sf_dir):
+    """A run with a blocking entry is no success; a filter that a database can't take is told, not hidden."""
+    ledger = Ledger()
+    clean = _refused(errors.TarnwellError, ledger.assert_clean)
+    scan = n.sql(f"sqlite:{_database(spark, sf_dir)}", table="people")
+    told = Service(spark).run(n.filter_(scan, func("regexp_count", col("c_name"), lit("1")) > 0)).ledger
+    quiet = Service(spark).run(n.filter_(scan, col("c_custkey") > 0)).ledger
+    assert told.counts() == {"PREDICATE_NOT_PUSHED": 1} and not quiet.entries
+    ledger.failed(errors.QualityCheckFailed(["x: has nulls"]), "gate")
+    rows = [("clean", clean), ("blocked", _refused(errors.TarnwellError, ledger.assert_clean)), ("unpushable filter", bool(told.blocking)), ("pushed filter", bool(quiet.blocking))]
+    return _rows(spark, rows, "run string, refused boolean")
+
+
 @_frame("SELECT c_custkey AS _id, c_name AS name, '{\"city\":\"' || c_mktsegment || '\"}' AS place FROM customer WHERE c_custkey > 10")
 def source_mongo(spark, sf_dir):
     path = shared(spark, "dump")

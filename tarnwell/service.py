@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnwell.errors import PolicyDenied, translated
 from tarnwell.governance import audit, rls
 from tarnwell.governance.policy import ANONYMOUS, BASELINE, NETWORK_SINKS, Policy, Subject
+from tarnwell.ledger import Ledger
 from tarnwell.plans.lower import Context, Lowered, lower
 from tarnwell.plans.nodes import Node
 from tarnwell.profile import pushdown_report
@@ -27,6 +28,7 @@ class Result:
     schema: Schema
     events: list[dict] = field(default_factory=list)
     context: Context | None = None
+    ledger: Ledger = field(default_factory=Ledger)
 
     def release(self) -> None:
         """Free what the plan cached; call it when the result has been used."""
@@ -60,7 +62,8 @@ class Service:
         start = len(self.recorder.entries)
         self.recorder.add("run_started", {"subject": subject.name, "roles": list(subject.roles), "policy": self.policy.name})
         policy = self.policy if self.enforced else UNRESTRICTED
-        context = Context(self.spark, policy, subject, self.recorder.add)
+        ledger = Ledger(sinks=(lambda d: self.recorder.add("degraded", {"kind": d.kind, "where": d.where, "severity": d.severity}),))
+        context = Context(self.spark, policy, subject, self.recorder.add, ledger=ledger)
         try:
             self.recorder.add("policy_bound", {"policy": policy.name, "enforced": self.enforced})
             secured = self.prepare(plan, subject)
@@ -68,8 +71,9 @@ class Service:
                 self.recorder.add("barriers_verified", {"rules": [r.predicate for r in self.policy.row_rules(subject)]})
             done = lower(secured, context)
             result = self._shown(done, subject) if protect and self.enforced else (done.df, done.schema)
+            ledger.assert_clean()
             self.recorder.add("completed", {"columns": result[1].names})
-            return Result(*result, self.recorder.entries[start:], context)
+            return Result(*result, self.recorder.entries[start:], context, ledger)
         except PolicyDenied as e:
             context.release()
             self.recorder.add("denied", {"kind": e.kind, "reason": str(e)})

@@ -14,8 +14,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tarnwell.errors import SourceUnavailable
+from tarnwell.errors import SourceUnavailable, UnmappableType
 from tarnwell.plans.expr import Expr
+from tarnwell.types import from_source
 
 from .writers import shared_folder
 
@@ -136,6 +137,29 @@ def _arrow(rows: list[tuple], schema: T.StructType):
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
 
+def discovery(connection: str) -> str:
+    """The statement that lists a database's tables, columns and declared types, in order."""
+    dialect = dialect_of(connection)
+    if dialect == "sqlite":
+        return "SELECT m.name AS table_name, p.name AS column_name, p.type AS data_type FROM sqlite_master m JOIN pragma_table_info(m.name) p WHERE m.type = 'table' ORDER BY m.name, p.cid"
+    own = "table_schema = DATABASE()" if dialect == "mysql" else "table_schema NOT IN ('pg_catalog', 'information_schema')"
+    return f"SELECT table_name, column_name, data_type FROM information_schema.columns WHERE {own} ORDER BY table_name, ordinal_position"
+
+
+def discovered(spark: SparkSession, connection: str) -> DataFrame:
+    """``table_name, column_name, data_type, spark_type`` of everything a database has; unknown types have no spark_type."""
+    found = read_sql(spark, connection, query=discovery(connection))
+    rows = [(r[0], r[1], r[2], _spark_type(dialect_of(connection), r[2])) for r in found.collect()]  # one row a column
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, spark_type string")
+
+
+def _spark_type(dialect: str, name: str) -> str | None:
+    try:
+        return from_source(dialect, name)
+    except UnmappableType:
+        return None
+
+
 def tables(path: str) -> dict[str, list[tuple[str, str]]]:
     """The tables of a SQLite database with their columns and declared types."""
     with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
