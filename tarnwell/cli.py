@@ -50,6 +50,11 @@ def main(argv: list[str] | None = None) -> int:
     p = commands.add_parser("examples")
     p.add_argument("--show", metavar="NAME")
     p.add_argument("--write", nargs=2, metavar=("NAME", "PATH"))
+    p = commands.add_parser("workbench")
+    p.add_argument("folder", nargs="?", default=".")
+    p.add_argument("--host", default="127.0.0.1")
+    p.add_argument("--port", type=int, default=8765)
+    p.add_argument("--policy")
     commands.add_parser("engines")
     commands.add_parser("doctor")
     commands.add_parser("version")
@@ -145,6 +150,17 @@ def _no_example(name: str):
     raise ValueError(f"no example {name!r}; there are {', '.join(EXAMPLES)}")
 
 
+def _workbench(args) -> int:
+    from tarnwell.governance.policy import BASELINE, load_policy
+    from tarnwell.service import Service
+    from tarnwell.workbench import Workbench
+
+    with Workbench(Service(_session(), load_policy(args.policy) if args.policy else BASELINE), args.folder, args.host, args.port) as server:
+        print(f"http://{args.host}:{server.server_address[1]}/")
+        server.serve_forever()
+    return 0
+
+
 def _engines(args) -> int:
     from tarnwell.sources.readers import READERS
 
@@ -160,4 +176,4 @@ def _version(args) -> int:
     return 0
 
 
-_COMMANDS = {"examples": _examples, "engines": _engines, "run": _run, "explain": _explain, "profile": _profile, "policy": _policy, "doctor": _doctor, "version": _version}
+_COMMANDS = {"examples": _examples, "workbench": _workbench, "engines": _engines, "run": _run, "explain": _explain, "profile": _profile, "policy": _policy, "doctor": _doctor, "version": _version}

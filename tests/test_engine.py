@@ -470,3 +470,91 @@ def test_plans_stay_native_and_pruned(spark, tmp_path):
     plan = n.group_by(n.filter_(n.parquet(tmp_path / "t"), col("v") > 4), "s", aggs={"n": count()})
     text = read(spark, plan)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "GreaterThan(v,4)" in text and "id:" not in text.split("ReadSchema")[1]
+
+
+def test_profiles_of_large_files(tmp_path, monkeypatch):
+    from tarnwell import profile as p
+
+    monkeypatch.setattr(p, "SAMPLE_BYTES", 3000)
+    path = tmp_path / "x.csv"
+    path.write_text("a,b\n" + "".join(f'{i},"two\nlines ""{i}"""\n' for i in range(2000)))
+    found = p.profile_csv(str(path))
+    assert not found.exact and found.provenance == "sampled" and abs(found.rows - 2000) < 100
+    assert found["a"].type == "bigint" and found["b"].type == "string" and found["a"].least == 0
+    path = tmp_path / "x.json"
+    path.write_text("".join(f'{{"a": {i}, "b": null}}\n' for i in range(2000)))
+    found = p.profile_json(str(path))
+    assert abs(found.rows - 2000) < 50 and found["b"].distinct == 0
+    with pytest.raises(SourceUnavailable):
+        p.profile_csv(str(tmp_path / "none.csv"))
+
+
+def test_csv_is_split_unless_fields_have_newlines(spark, tmp_path, monkeypatch):
+    from tarnwell.sources import readers
+
+    monkeypatch.setattr(readers, "SMALL_CSV", 10)
+    (tmp_path / "plain.csv").write_text("a,b\n1,x\n2,y\n")
+    (tmp_path / "lines.csv").write_text('a,b\n1,"x\nz"\n2,y\n')
+    assert not readers._has_quoted_newlines(spark, str(tmp_path / "plain.csv"))
+    assert rows(lower(n.csv(str(tmp_path / "plain.csv")), Context(spark)).df) == [(1, "x"), (2, "y")]
+    assert rows(lower(n.csv(str(tmp_path / "lines.csv")), Context(spark)).df) == [(1, "x\nz"), (2, "y")]
+
+
+def test_large_sqlite_results_leave_in_parts(spark, tmp_path, monkeypatch):
+    import sqlite3
+
+    from tarnwell.sources import sql
+
+    monkeypatch.setattr(sql, "BATCH_ROWS", 7)
+    with sqlite3.connect(tmp_path / "x.db") as db:
+        db.execute("CREATE TABLE t (a, b)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(i if i < 30 else i + 0.5, None if i % 3 else "x") for i in range(40)])
+    df = lower(n.sql(f"sqlite:{tmp_path}/x.db", table="t"), Context(spark)).df
+    assert df.dtypes == [("a", "double"), ("b", "string")] and df.count() == 40
+    assert df.where("b IS NULL").count() == 26
+
+
+def test_jdbc_reads_in_ranges(spark):
+    from tarnwell.sources import sql
+
+    reader = sql.jdbc_reader(spark, "postgresql://h/d", 'SELECT "a" FROM "t"', ("a", 0, 100, 4))
+    assert reader is not None
+    assert "information_schema.columns" in sql.discovery("jdbc:mysql://h/d")
+
+
+def test_caches_are_released(spark):
+    data = n.cache(n.dataframe(spark.range(100).toDF("k"), "d"))
+    with Service(spark).run(n.union(data, data)) as result:
+        assert result.df.count() == 200 and result.context.cached
+        kept = result.context.cached[0]
+        assert kept.storageLevel.useMemory
+    assert not result.context.cached and not kept.storageLevel.useMemory
+
+
+def test_workbench(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from tarnwell.workbench import Workbench
+
+    (tmp_path / "x.py").write_text("from tarnwell.plans.nodes import const, sort\n\ndef build():\n    return sort(const([(2,), (1,)], 'k int'), 'k')\n")
+    with Workbench(Service(spark), str(tmp_path)) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        base = f"http://127.0.0.1:{server.server_address[1]}"
+
+        def ask(path, body=None, kind="application/json"):
+            data = None if body is None else json.dumps(body).encode()
+            try:
+                with urllib.request.urlopen(urllib.request.Request(base + path, data, {"Content-Type": kind})) as r:
+                    return r.status, r.read()
+            except urllib.error.HTTPError as e:
+                return e.code, e.read()
+
+        status, body = ask("/run", {"pipeline": "x.py"})
+        assert status == 200 and json.loads(body)["rows"] == [{"k": 1}, {"k": 2}]
+        assert ask("/explain", {"pipeline": "x.py"})[0] == 200 and ask("/")[0] == 200
+        assert ask("/run", {"pipeline": "../x.py"})[0] == 400 and ask("/run", {"pipeline": "x.py"}, "text/plain")[0] == 415
+        assert json.loads(ask("/health")[1])["verified"] and ask("/nothing")[0] == 404
+        server.shutdown()
