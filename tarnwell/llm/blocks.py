@@ -9,10 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates, and of a block of queries, about.
-ROWS = 6_000
-QUERIES = 600
-
+from .common import give_back
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     """Rows with a vector whose components are all finite (and, unless ``zero``, not all 0)."""
@@ -24,35 +21,41 @@ def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     return vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v"))
 
 
-def best(
-    queries: DataFrame,
-    rows: DataFrame,
-    n_queries: int,
-    n_rows: int,
-    k: int,
-    task: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]],
-    kind: str,
-    better: Callable[[Column], Column],
-) -> DataFrame:
-    """The ``k`` best rows of each query: ``query_id, rank, vec_id, score``.
-
-    ``task`` gets a block of queries and a block of rows and returns query ids,
-    row ids and scores, at most about ``k`` each query; those of all blocks are
-    ranked by score and then smaller id.
+def one_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``vec_id, v`` of a bounded set of ids, one row of each however often it occurs."""
+    found = rows.join(F.broadcast(ids.withColumnRenamed("vec_id", "_id")), F.col("vec_id") == F.col("_id"))
+    return found.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def dealt(rows: DataFrame, column: str, blocks: int) -> DataFrame:
+    """``rows`` with the number of a block; rows of one id are dealt out too.
+
+    ``rows`` must be a written table: the place of a row in it is part of what decides.
     """
-    q_blocks, r_blocks = max(1, -(-n_queries // QUERIES)), max(1, -(-n_rows // ROWS))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = queries.withColumn("qb", block("vec_id", q_blocks)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))))
-    right = rows.withColumn("rb", block("vec_id", r_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64() if kind == "long" else pa.float64())])
+    return rows.withColumn(column, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+
 
-    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+def every(rows: DataFrame, column: str, blocks: int) -> DataFrame:
+    """``rows`` once for each block."""
+    return rows.withColumn(column, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+
+def met(left: DataFrame, right: DataFrame, task: Callable[[pa.Table, pa.Table], tuple], out: pa.Schema, ddl: str) -> DataFrame:
+    """What ``task`` makes of the rows of both sides with the same ``qb`` and ``rb``."""
+
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(task(left, right), out, strict=True)], schema=out)
+        found = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(task(left, right), out, strict=True)], schema=out)
+        give_back()
+        return found
+
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(together, ddl)
+
 
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(met, f"query_id long, vec_id long, score {kind}")
-    order = Window.partitionBy("query_id").orderBy(better(F.col("score")), "vec_id")
+def ranked(found: DataFrame, k: int, better: Column) -> DataFrame:
+    """The ``k`` best of ``found(query_id, vec_id, score)`` for each query, ties by smaller id."""
+    order = Window.partitionBy("query_id").orderBy(better, "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
