@@ -2,8 +2,9 @@
 
 Large-star and small-star steps alternate until the edges are stars around the
 smallest node of each component.  Every step is one aggregation and one join on
-the node, so a hub's edges can be split among tasks; the edges of a step are
-written to the shared folder, which bounds lineage.
+the node.  What the aggregation gives is written to the shared folder and read
+again, so that the join has two plain sides and adaptive execution can split a
+hub's edges among tasks; so are the edges of a step, which bounds lineage.
 """
 
 from __future__ import annotations
@@ -20,16 +21,20 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _both(edges)
-    least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.col("k"), F.min("v")).alias("m"))
+    least = saved(both.groupBy(F.col("u").alias("k")).agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
     joined = both.where("v > u").join(least, F.col("u") == F.col("k"))
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    found = saved(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    discard(least)
+    return found
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+    least = saved(down.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), "least")
     moved = down.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+    found = saved(moved.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+    discard(least)
+    return found
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -38,9 +43,13 @@ def stars(edges: DataFrame) -> DataFrame:
     with a null take no part; no edges give no rows."""
     now = saved(edges.where("u <> v").select("u", "v"), "edges")
     mark = None
+    if now.isEmpty():
+        return now
     while True:
-        before, now = now, saved(_small_star(_large_star(now)), "edges")
-        discard(before)
+        large = _large_star(now)
+        discard(now)
+        now = _small_star(large)
+        discard(large)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             return now
