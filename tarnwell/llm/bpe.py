@@ -1,30 +1,48 @@
-"""Byte-level BPE by replaying merges over a block of the corpus.
-
-The pattern cuts texts into pieces; the distinct pieces of a block that are not
-known yet are laid end to end, an inverted index leads from each mergeable
-token pair to the positions where it stands, and the merges are applied in rank
-order, each touching only the neighbours of what it merged.  A piece is encoded
-once a block however often it occurs, so frequent words cost nothing more.
+"""Byte-level BPE by replaying merges over the words of the corpus.
+
+A word is a stretch of text at whose ends the pattern cuts for certain; the
+pattern cuts words into pieces.  One pass counts the pieces of the whole corpus;
+the most frequent ones, to a fixed number, are encoded once for all and told to
+every task as a store.  A second pass looks words and pieces up and encodes the
+pieces that the store lacks, all distinct ones of a block at once.
+
+Both encode by the same replay: distinct pieces are laid end to end, an inverted
+index leads from each mergeable token pair to the positions where it stands,
+and the merges are applied in rank order, each touching only the neighbours of
+what it merged.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import worker_state
+from .common import give_back, uncollected, worker_state
 
-#: Pieces that a worker remembers from earlier blocks.
-KNOWN_PIECES = 130_000
+#: Pieces of the store, at most, and the characters of one.
+STORE_PIECES = 300_000
+STORE_CHARS = 40
+#: Distinct words that a task counts before it hands the counts on.
+COUNTED_WORDS = 400_000
+#: Words beyond the store that a worker remembers.
+REMEMBERED = 50_000
 #: Characters of text that are encoded together.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 1_000_000
+#: Pieces that are laid end to end at once.
+REPLAYED = 20_000
+#: White space as Unicode has it, but for the space and the line feed.
+OTHER_SPACES = tuple("\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + tuple(map(chr, range(0x2000, 0x200B)))
+ASCII_SPACES = OTHER_SPACES[:4]
 ABSENT = 1 << 30
 
 
@@ -142,23 +160,70 @@ class MergeReplay:
         return [packed[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905
 
 
+def words_of(text: str) -> list[str]:
+    """The text cut before each space or line feed that follows something else than white space.
+
+    A pattern no match of which has white space after anything else cuts there too.
+    """
+    if "\0" in text:
+        return [text]
+    text = text.replace(" ", "\0 ").replace("\n", "\0\n").replace(" \0", " ").replace("\n\0", "\n")
+    for space in ASCII_SPACES if text.isascii() else OTHER_SPACES:
+        if space in text:
+            text = text.replace(space + "\0", space)
+    return text.split("\0")
+
+
 class Encoder:
-    """Texts to ids; keeps the pieces of the latest blocks, within a bound."""
+    """Texts to ids by way of their words.
+
+    ``spaced`` tells that no match of the pattern has white space after
+    anything else; then words are those of :func:`words_of`, else the pieces.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False, store: dict[str, bytes] | None = None):
         import regex
 
         self.replay = MergeReplay(ranks)
         self.cut = regex.compile(piece_pattern(pattern)).findall
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = words_of if spaced else self.cut
+        self.spaced = spaced
+        self.store = store or {}
+        self.met: dict[str, bytes] = {}
+        top = max(ranks.values(), default=-1) + 1
+        self.token = [self.replay.bytes_of.get(k) for k in range(top)]
+        self.digits = [str(k).encode() for k in range(top)]
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The packed 32-bit ids of each piece."""
+        out = []
+        for k in range(0, len(pieces), REPLAYED):
+            out += self.replay.encode([p.encode("utf-8", "surrogatepass") for p in pieces[k : k + REPLAYED]])
+        return out
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The packed 32-bit ids of each word."""
+        cut = list(map(self.cut, words)) if self.spaced else [[w] if w else [] for w in words]
+        known, new = self._found({p for c in cut for p in c}, self.store)
+        known.update(zip(new, self.of_pieces(new), strict=True))
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
+
+    @staticmethod
+    def _found(words: set[str], *stores: dict[str, bytes]) -> tuple[dict[str, bytes], list[str]]:
+        """Those of the words that some store has, with their ids, and the rest."""
+        known: dict[str, bytes] = {}
+        for store in stores:
+            got = store.get
+            known.update({w: ids for w in words if (ids := got(w)) is not None})
+            words = words - known.keys()
+        return known, list(words)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[list[bytes]]:
-        """The packed 32-bit ids of the texts, in blocks; null counts as empty."""
+        """The packed ids of the texts, in blocks; null counts as empty."""
         block: list[list[str]] = []
         chars = 0
         for text in texts:
-            block.append(self.cut(text) if text else [])
+            block.append(self.words(text) if text else [])
             chars += len(text or "")
             if chars >= BLOCK_CHARS:
                 yield self._block(block)
@@ -167,40 +232,113 @@ class Encoder:
             yield self._block(block)
 
     def _block(self, block: list[list[str]]) -> list[bytes]:
-        if len(self.known) > KNOWN_PIECES:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for p in {p for pieces in block for p in pieces if p not in known}:
-            if p in older:
-                known[p] = older[p]
-            else:
-                new.append(p)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            known.update(zip(part, self.replay.encode([p.encode("utf-8", "surrogatepass") for p in part]), strict=True))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in block]
+        with uncollected():
+            return self._encoded(block)
+
+    def _encoded(self, block: list[list[str]]) -> list[bytes]:
+        if len(self.met) > REMEMBERED:
+            self.met = {}
+        known, new = self._found(set().union(*block), self.store, self.met)
+        made = dict(zip(new, self.of_words(new), strict=True))
+        self.met.update((w, ids) for w, ids in made.items() if len(w) <= STORE_CHARS)
+        known |= made
+        return [b"".join(map(known.__getitem__, words)) for words in block]
+
+    def decode(self, ids: list[int]) -> bytes:
+        """The bytes that the ids stand for; unknown ids raise."""
+        return b"".join(map(self.token.__getitem__, ids))
+
+    def listed(self, ids: list[int]) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return b",".join(map(self.digits.__getitem__, ids))
 
 
 def _unpacked(packed: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in packed.splitlines() if x.strip())}
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def _counted(docs: DataFrame, encoder) -> DataFrame:
+    """How often each distinct piece of the corpus occurs, but for those too long for the store."""
+
+    def counted(batches):
+        own, words = encoder(), Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                with uncollected():
+                    words.update(own.words(text.as_py() or ""))
+                if len(words) > COUNTED_WORDS:
+                    yield from handed_on(own, words)
+                    words.clear()
+        yield from handed_on(own, words)
+        words = Counter()
+        give_back()
+
+    def handed_on(own, words):
+        counts: Counter = Counter()
+        for word, n in words.items():
+            for piece in own.cut(word) if own.spaced else [word]:
+                counts[piece] += n
+        kept = [(p, n) for p, n in counts.items() if 0 < len(p) <= STORE_CHARS]
+        for k in range(0, len(kept), 50_000):
+            part = kept[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["piece", "n"])
+
+    return docs.select("text").mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+class Vocabulary:
+    """What the tasks need: the ranks and the store, both broadcast, made into an encoder once a worker.
+
+    With ``store`` 0 nothing is counted and every block encodes all its words.
+    """
+
+    def __init__(self, docs: DataFrame, ranks_path: str, pattern: str, spaced: bool = False, store: int = STORE_PIECES):
+        context = docs.sparkSession.sparkContext
+        with open(ranks_path, "rb") as file:
+            self.packed = context.broadcast(file.read())
+        self.key = ("bpe", len(self.packed.value), pattern, spaced, uuid.uuid4().hex)
+        self.pattern, self.spaced, self.store = pattern, spaced, None
+        if store:
+            self.store = context.broadcast(self._frequent(docs, store))
+
+    def encoder(self) -> Encoder:
+        def made():
+            store = dict(zip(*self.store.value, strict=True)) if self.store else {}
+            return Encoder(_unpacked(self.packed.value), self.pattern, self.spaced, store)
+
+        return worker_state(self.key, made)
+
+    def _frequent(self, docs: DataFrame, most: int) -> tuple[list[str], list[bytes]]:
+        """The corpus' most frequent pieces with their ids; of equally frequent ones the first by code point."""
+        packed, key, pattern, spaced = self.packed, (*self.key, "first"), self.pattern, self.spaced
+        first = lambda: worker_state(key, lambda: Encoder(_unpacked(packed.value), pattern, spaced))
+        frequent = _counted(docs, first).where("n > 1").orderBy(F.desc("n"), "piece").limit(most)
+
+        def encoded(batches):
+            for batch in batches:
+                # what is a piece by itself too: it may then be looked up as a word
+                pieces = [p for p in batch.column(0).to_pylist() if first().cut(p) == [p]]
+                yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(first().of_pieces(pieces), pa.binary())], names=["piece", "ids"])
+
+        found = frequent.select("piece").mapInArrow(encoded, "piece string, ids binary").toArrow()
+        return found.column("piece").to_pylist(), found.column("ids").to_pylist()
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, spaced: bool = False) -> DataFrame:
     """``doc_id`` and ``ids array<int>``, one row per input row.
 
     The vocabulary file (of fixed size) is read on the driver and broadcast.
     Null and empty texts have no ids.  Repeated rows are encoded each.  Special
-    tokens' strings are ordinary text.  Other columns are ignored.
+    tokens' strings are ordinary text.  Other columns are ignored.  ``spaced``
+    may be set if no match of the pattern has white space after anything else;
+    the ids are the same either way.
     """
-    spark = docs.sparkSession
-    with open(ranks_path, "rb") as file:
-        packed = spark.sparkContext.broadcast(file.read())
     slim = docs.select("doc_id", "text")
+    vocabulary = Vocabulary(slim, ranks_path, pattern, spaced)
     kept = pa.schema([("doc_id", _arrow_type(slim, "doc_id")), ("ids", pa.list_(pa.int32()))])
 
     def encoded(batches):
-        encoder = worker_state(("bpe", len(packed.value), pattern), lambda: Encoder(_unpacked(packed.value), pattern))
+        encoder = vocabulary.encoder()
         for batch in batches:
             at = 0
             texts = (x.as_py() for x in batch.column(1))
@@ -221,7 +359,8 @@ def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
 
 
 def decoder(docs: DataFrame, ranks_path: str):
-    """A column function from ``array<int>`` to the decoded ``binary``; unknown ids raise."""
+    """A column function from ``array<int>`` to the decoded ``binary``; null ids
+    are null, an empty list is no bytes, unknown ids raise."""
     with open(ranks_path, "rb") as file:
         packed = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -234,17 +373,28 @@ def decoder(docs: DataFrame, ranks_path: str):
     return decoded
 
 
-def ids_digest(ids: Column) -> Column:
-    return F.sha2(F.concat_ws(",", ids.cast("array<string>")), 256)
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, spaced: bool = False) -> DataFrame:
+    """Encode, decode, and the digests of both: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
+    One row per input row; the cases of :func:`encode` hold.  Ids and bytes are
+    digested where they are made, in one pass, and never leave the worker.
+    """
+    slim = docs.select("doc_id", "text")
+    vocabulary = Vocabulary(slim, ranks_path, pattern, spaced)
+    kinds = [_arrow_type(slim, "doc_id"), pa.int64(), pa.string(), pa.string()]
+    kept = pa.schema(list(zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), kinds, strict=True)))
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode, decode, and the digests of both."""
-    tokens = encode(docs, ranks_path, pattern)
-    decoded = decoder(docs, ranks_path)
-    return tokens.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(decoded("ids"), 256).alias("decoded_sha256"),
-    )
+    def digested(batches):
+        encoder = vocabulary.encoder()
+        for batch in batches:
+            rows = []
+            for block in encoder.encode(x.as_py() for x in batch.column(1)):
+                for packed in block:
+                    ids = np.frombuffer(packed, dtype="<i4").tolist()
+                    rows.append((len(ids), sha256(encoder.listed(ids)).hexdigest(), sha256(encoder.decode(ids)).hexdigest()))
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True)]], schema=kept)
+        give_back()
+
+    out = slim.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    return slim.mapInArrow(digested, out)

@@ -23,7 +23,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, spaced=True)
 
 
 def held_out() -> Column:
@@ -33,7 +33,7 @@ def held_out() -> Column:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()), rows=20_000)
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()), rows=10_000)
     return quality.score(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted")
     )
