@@ -20,7 +20,6 @@ window besides its bucket.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, shuffle_partitions, worker_state
+from .common import discard, give_back, saved, word_count, worker_state
+from .packed import bucket_count
 
 #: Words of a chunk.
-CHUNK_WORDS = 800_000
+CHUNK_WORDS = 500_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 200_000
-#: Hash buckets for each shuffle partition.
-BUCKETS_EACH = 4
+REMEMBERED = 100_000
+#: Words whose windows a bucket holds, about, at most.
+BUCKET_WORDS = 4_000_000
 NONE = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -215,6 +215,7 @@ def _anchors(docs: DataFrame, block: int, buckets: int) -> DataFrame:
                 full_key(hashes[told], buckets),
                 buckets,
             )
+        give_back()
 
     def matched(key, table):
         keys, ids, flags, own_docs, own_keys = _received(table)
@@ -235,7 +236,9 @@ def _table_out(function):
     """``applyInArrow`` wants a table."""
 
     def whole(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(function(key, table)), schema=_FOUND)
+        found = pa.Table.from_batches(list(function(key, table)), schema=_FOUND)
+        give_back()
+        return found
 
     return whole
 
@@ -277,6 +280,7 @@ def _repeats(candidates: DataFrame, block: int, window: int, buckets: int) -> Da
             least = np.minimum.reduceat(ids, starts)
             later = ids > least[group]
             yield from _messages(hashes[starts], least, np.ones(len(starts), bool), ids[later], more[later].view(np.int64), buckets, more[starts])
+        give_back()
 
     def matched(key, table):
         keys, ids, _, own_docs, own_keys = _received(table, wide=True)
@@ -304,12 +308,6 @@ def spans(hashes: np.ndarray, keys: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(covered[:-1]) > 0
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of steps that are written and done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` with ``_n_words``, ``_n_removed`` and ``_kept`` (the kept words, joined by a space).
 
@@ -317,26 +315,37 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     in a document with a smaller doc_id, as the documents came.  Null and empty
     texts have no words.  Rows that repeat a doc_id are one document's and
     don't remove from each other; rows with a null doc_id keep all their words
-    and remove nothing.  Documents with the same text as a smaller one are
-    settled by a digest of the text and take no part in the second round.
+    and remove nothing.  Documents each of whose rows has the same text as a
+    smaller document are settled by a digest of the text and take no part in
+    the second round.  A doc_id is cast to long; text that isn't a number raises
+    or counts as null, as the session's ANSI mode has it.  Columns of ``docs``
+    with the names of the added ones are replaced.
     """
     spark = docs.sparkSession
     block = window // 2 + 1
-    buckets = BUCKETS_EACH * shuffle_partitions(spark)
     slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     digests = saved(
-        slim.select("doc_id", F.xxhash64("text").alias("a"), F.substring(F.sha1(F.col("text").cast("binary")), 1, 16).alias("b")),
+        slim.select(
+            "doc_id",
+            F.xxhash64("text").alias("a"),
+            F.substring(F.sha1(F.col("text").cast("binary")), 1, 16).alias("b"),
+            word_count(F.col("text")).alias("n"),
+        ),
         "digests",
     )
-    first = digests.groupBy(F.col("a").alias("fa"), F.col("b").alias("fb")).agg(F.min("doc_id").alias("first"))
-    copies = digests.join(first, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))).where("doc_id > first")
-    copies = saved(copies.select(F.col("doc_id").alias("_copy")).distinct(), "copies")
+    buckets = bucket_count(spark, digests.agg(F.sum("n")).first()[0] or 0, BUCKET_WORDS)
+    first = digests.groupBy(F.col("a").alias("fa"), F.col("b").alias("fb")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    first = saved(first.where("first < last").drop("last"), "firsts")
+    # a document is a copy if each of its rows is
+    joined = digests.join(first, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left")
+    copies = joined.groupBy(F.col("doc_id").alias("_copy")).agg(F.min(F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).alias("copy"))
+    copies = saved(copies.where("copy").select("_copy"), "copies")
     discard(digests)
+    discard(first)
 
     anchors = _anchors(slim, block, buckets).join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
     anchors = saved(_collected(anchors), "anchors")
-    _release(spark)
     candidates = slim.join(anchors, F.col("doc_id") == F.col("_doc"))
     repeats = _repeats(candidates, block, window, buckets)
     repeats = saved(
@@ -346,7 +355,6 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
         "repeats",
     )
     discard(anchors)
-    _release(spark)
 
     @F.arrow_udf("struct<n_words: long, n_removed: long, kept: string>")
     def cut(texts: pa.Array, keys: pa.Array, whole: pa.Array) -> pa.Array:
@@ -364,16 +372,22 @@ def dedup(docs: DataFrame, window: int = 13) -> DataFrame:
             else:
                 n_removed.append(0)
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        return pa.StructArray.from_arrays(
+        out = pa.StructArray.from_arrays(
             [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
             names=["n_words", "n_removed", "kept"],
         )
+        del kept
+        give_back()
+        return out
 
+    # else a filter on its result would run it a second time, in workers of its own
+    cut = cut.asNondeterministic()
     # the row travels as one column, so that no name of its own can clash
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     joined = packed.join(repeats, F.col("_row.doc_id").cast("long") == F.col("_doc"), "left")
+    added = ("_n_words", "_n_removed", "_kept")
     return joined.withColumn("_cut", cut("_row.text", "_keys", "_whole")).select(
-        "_row.*",
+        *[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in added],
         F.col("_cut.n_words").alias("_n_words"),
         F.col("_cut.n_removed").alias("_n_removed"),
         F.col("_cut.kept").alias("_kept"),
@@ -386,12 +400,13 @@ def removed(docs: DataFrame, window: int = 13) -> DataFrame:
     A document that loses nothing keeps its text as it is; one that loses all
     its words is dropped, one that never had any stays.
     """
-    cut = dedup(docs, window).where((F.col("_n_words") == 0) | (F.col("_n_removed") < F.col("_n_words")))
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    out = {"text": text}
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    cut = dedup(packed, window).where((F.col("_n_words") == 0) | (F.col("_n_removed") < F.col("_n_words")))
+    less = F.col("_n_removed") > 0
+    out = {"text": F.when(less, F.col("_kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return cut.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+        out["n_chars"] = F.when(less, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return cut.select(*[out.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 SUBSTRING_SQL = """
