@@ -1,13 +1,13 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 A fingerprint of 64 bits is cut into three segments: of at most four differing
-bits, some segment has at most one.  The index holds each segment as it is, and
-each segment with one bit left out; left rows have a 0 at that bit and right
-rows a 1, so that an equality join meets every pair whose segment differs in
-exactly that bit once.  Pairs are verified on all 64 bits in the join.
+bits, some segment has at most one.  The index holds each segment with one bit
+left out, for each of its bits, so that entries of equal key differ in that bit
+of the segment at most; pairs that meet are verified on all 64 bits.
 
 Documents meet only as distinct fingerprints: copies, however many, are one row
-of the index, and links are kept between different fingerprints only.
+of the index.  Groups of near copies are first joined through leaders, so that
+only pairs across such classes are left to be found.
 """
 
 from __future__ import annotations
@@ -19,13 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, shuffle_partitions
+from .common import discard, drawn, give_back, saved, small
 from .components import stars
+from .packed import across, bucket_count, by_bucket, joined
 
 SEED = 42
 MAX_BITS = 4
 #: First bit and width of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Index entries of a bucket, about, at most.
+BUCKET_ENTRIES = 2_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -61,37 +64,76 @@ def _bits(x: Column, segment: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _first_here(x: Column, k: Column) -> Column:
-    """No earlier segment than number ``k`` would have met the pair."""
-    more = [F.bit_count(_bits(x, s)) > 1 for s in SEGMENTS]
-    return (k == 0) | (more[0] & ((k == 1) | more[1]))
+def _leader_links(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Links to the leaders of a fingerprint's three segments: of those that have a segment in
+    common the smallest, the largest and one by chance lead.  Three segments have nine leaders."""
+    seg = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _bits(F.col("fp"), s).alias("part")) for k, s in enumerate(SEGMENTS)]))
+    whole = fps.select("fp", seg.alias("s")).select("fp", "s.k", "s.part")
+    some = F.min(F.struct(F.xxhash64("fp").alias("h"), "fp"))["fp"]
+    first = whole.groupBy("k", "part").agg(F.count("*").alias("n"), F.array(F.min("fp"), F.max("fp"), some).alias("leaders"))
+    first = saved(first.where("n > 1").select(F.col("k").alias("lk"), F.col("part").alias("lp"), "leaders"), "leaders")
+    met = whole.join(first, (F.col("k") == F.col("lk")) & (F.col("part") == F.col("lp"))).select("fp", F.explode("leaders").alias("v"))
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("v")))
+    return met.where((bits > 0) & (bits <= max_bits)).select(F.col("fp").alias("u"), "v").distinct()
+
+
+def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The deletion variants of fingerprints: keys (a bit and its segment without it), and whose each is."""
+    bits = np.arange(64, dtype=np.uint64)
+    cleared = fps.view(np.uint64)[:, None] & ~(np.uint64(1) << bits)[None, :]
+    keys = np.empty(cleared.shape, dtype=np.uint32)
+    for low, width in SEGMENTS:
+        own = slice(low, low + width)
+        keys[:, own] = (cleared[:, own] >> np.uint64(low)) & np.uint64((1 << width) - 1)
+    keys |= (np.arange(64, dtype=np.uint32) << np.uint32(22))[None, :]
+    return keys.ravel(), np.repeat(np.arange(len(fps)), 64)
+
+
+def _links_across(classes: DataFrame, max_bits: int) -> DataFrame:
+    """All pairs of ``classes(fp, class)`` of different classes that differ in at most ``max_bits`` bits.
+
+    Two such share a segment but for one bit at most, so they share a variant.
+    """
+    buckets = bucket_count(classes.sparkSession, 64 * classes.count(), BUCKET_ENTRIES)
+
+    def sent(batches):
+        for batch in batches:
+            fps, own = (np.asarray(batch.column(k)).astype(np.int64) for k in range(2))
+            for a in range(0, len(fps), 10_000):
+                keys, at = variants(fps[a : a + 10_000])
+                bucket = (keys * np.uint32(0x9E3779B1) >> np.uint32(1)) % np.uint32(buckets)
+                yield from by_bucket(bucket, {"keys": keys, "fps": fps[a : a + 10_000][at], "classes": own[a : a + 10_000][at]})
+        give_back()
+
+    def met(table: pa.Table) -> pa.Table:
+        keys, fps, own = (joined(table.column(c), kind) for c, kind in (("keys", "<u4"), ("fps", "<i8"), ("classes", "<i8")))
+        found = [np.zeros((2, 0), np.int64)]
+        for x, y in across(keys, own):
+            near = np.bitwise_count((fps[x] ^ fps[y]).view(np.uint64)) <= max_bits
+            found.append(np.unique(np.stack([fps[x[near]], fps[y[near]]]), axis=1))
+        give_back()
+        return pa.Table.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], names=["u", "v"])
 
+    entries = classes.select("fp", "class").mapInArrow(sent, "bucket int, keys binary, fps binary, classes binary")
+    return entries.groupBy("bucket").applyInArrow(met, "u long, v long")
 
-def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs ``(u, v)`` of distinct values of ``fp`` that differ in 1 to ``max_bits`` (at most 4) bits."""
+
+def linked(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Stars ``(u, v)`` of the distinct values of ``fp`` under links of at most ``max_bits`` (at most 4) bits.
+
+    Every value but a component's smallest stands with that smallest.  Large
+    groups are joined through leaders first, by a number of links that follows
+    their size; then only pairs of values of different classes are compared, all
+    of them that share a variant.  So a group of near copies is never paired out.
+    """
     if not 1 <= max_bits <= 4:
         raise ValueError("three segments find up to 4 differing bits")
     fps = fingerprints.select("fp")
-    x = F.col("u").bitwiseXOR(F.col("v"))
-    near = F.bit_count(x) <= max_bits
-
-    seg = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _bits(F.col("fp"), s).alias("part")) for k, s in enumerate(SEGMENTS)]))
-    whole = fps.select("fp", seg.alias("s")).select("fp", "s.k", "s.part")
-    left, right = (whole.select(F.col("fp").alias(c), F.col("k").alias(f"k{c}"), F.col("part").alias(f"p{c}")) for c in "uv")
-    same = left.join(right, (F.col("ku") == F.col("kv")) & (F.col("pu") == F.col("pv")) & (F.col("u") < F.col("v")) & near & _first_here(x, F.col("ku")))
-
-    bit = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-    power = F.expr("shiftleft(1L, i)")
-    cleared = F.col("fp").bitwiseAND(F.bitwise_not(power))
-    parts = [_bits(cleared, s) for s in SEGMENTS]
-    part = F.when(F.col("i") < 21, parts[0]).when(F.col("i") < 42, parts[1]).otherwise(parts[2])
-    has = F.col("fp").bitwiseAND(power) != 0
-    key = (F.col("i").cast("long") * (1 << 22) + part).alias
-    zero, one = bit.where(~has).select(F.col("fp").alias("u"), key("a")), bit.where(has).select(F.col("fp").alias("v"), key("b"))
-    of = F.shiftrightunsigned("a", 22)
-    segment = F.when(of < 21, 0).when(of < 42, 1).otherwise(2)
-    differ = zero.join(one, (F.col("a") == F.col("b")) & near & _first_here(x, segment))
-    return same.select("u", "v").unionByName(differ.select("u", "v"))
+    near = stars(_leader_links(fps, max_bits))
+    classes = saved(fps.join(near, F.col("fp") == F.col("u"), "left").select("fp", F.coalesce("v", "fp").alias("class")), "classes")
+    more = saved(_links_across(classes, max_bits), "across")
+    discard(classes)
+    return stars(near.unionByName(more))
 
 
 def groups(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
@@ -104,7 +146,7 @@ def groups(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> DataF
     """
     fps = saved(docs.select("doc_id", fingerprint_column(shingle)("text").alias("fp")), "fingerprints")
     distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    star = stars(links(distinct, max_bits))
+    star = linked(distinct, max_bits)
     rooted = distinct.join(star, F.col("fp") == F.col("u"), "left").select(
         "fp", "least", F.coalesce("v", "fp").alias("root")
     )
@@ -145,12 +187,16 @@ COMMON = 200_000
 #: Indexed shingles that two similar sets must share (or all of the fewer that they must
 #: share in all); the index is that much longer, and pairs that meet by chance are fewer.
 SHARED = 10
-#: Buckets of shingles for each shuffle partition.
-BUCKETS_EACH = 4
+#: Index entries of a bucket in which pairs are looked for: a pair is written once a bucket.
+PAIR_ENTRIES = 250_000
+#: Ids of documents to be compared that are sent to every task, at most.
+ASKED = 500_000
 _RANDOM = np.random.default_rng(SEED)
 _FLIPS = _RANDOM.integers(0, 2**63, BANDS * MINIMA, dtype=np.uint64)
 _FACTORS = _RANDOM.integers(0, 2**63, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
-_ENTRIES = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("keys", "nodes", "comps", "sizes", "places")])
+#: 64-bit words of the signature of the shingles before one.
+WORDS = 4
+_ENTRIES = {"keys": "<i8", "nodes": "<i8", "comps": "<i8", "sizes": "<i4", "places": "<i4", "can": "<i4", "ranks": "<i4", "before": "<u8"}
 _PAIRS = pa.schema([(c, pa.int64()) for c in ("u", "v", "need", "n")])
 
 
@@ -211,8 +257,8 @@ def _common_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
     def hashes(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_hashes(t.as_py(), shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
-    share = int(min(1.0, COMMON_ROWS / max(1, slim.count())) * 1_000_000)
-    some = slim.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
+    ids = F.broadcast(drawn(slim, COMMON_ROWS, slim.count(), 11).withColumnRenamed("doc_id", "_id"))
+    some = slim.join(ids, F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"))
     counts = some.select(F.explode(hashes("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_IN)
     found = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     known, n = np.asarray(found.column("h")).astype(np.int64).view(np.uint64), np.asarray(found.column("n")).astype(np.int64)
@@ -228,63 +274,125 @@ def _leader_pairs(nodes: DataFrame) -> DataFrame:
     return met.select("u", F.col("node").alias("v")).distinct()
 
 
-def _pairs_of_keys(keys, nodes, comps, sizes, places, least) -> np.ndarray:
+def _signatures(keys: np.ndarray) -> np.ndarray:
+    """For each of a node's keys, in order, the bits of those before it."""
+    bit = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(64 * WORDS)
+    own = np.zeros((len(keys), WORDS), np.uint64)
+    own[np.arange(len(keys)), bit >> np.uint64(6)] = np.uint64(1) << (bit & np.uint64(63))
+    out = np.zeros_like(own)
+    out[1:] = np.bitwise_or.accumulate(own, axis=0)[:-1]
+    return out
+
+
+def _pairs_of_keys(keys, nodes, comps, sizes, places, can, ranks, before, least) -> np.ndarray:
     """Pairs of different components that meet and can be similar enough: smaller node,
     larger node, how many keys they must have in common, how many of these they have."""
-    order = np.lexsort((comps, keys))
-    keys, nodes, comps, sizes, places = (x[order] for x in (keys, nodes, comps, sizes, places))
-    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
-    stop = np.repeat(ends, np.diff(np.append(0, ends)))
-    new = np.append(np.flatnonzero((keys[1:] != keys[:-1]) | (comps[1:] != comps[:-1])) + 1, len(keys))
-    after = np.repeat(new, np.diff(np.append(0, new)))
-    left = np.flatnonzero(after < stop)
     found = [np.zeros((4, 0), np.int64)]
-    # every row meets the rows of its key that follow its component's, some rows at a time
-    counts = stop[left] - after[left]
-    cuts = np.flatnonzero(np.diff(np.append(-1, np.cumsum(counts) // 500_000)))
-    for a, b in zip(cuts, np.append(cuts, len(left))[1:], strict=True):
-        n = counts[a:b]
-        x = np.repeat(left[a:b], n)
-        y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(after[left[a:b]], n)
-        # each of the first SHARED keys that a pair has in common leaves room for what it must still share
-        room = np.minimum(sizes[x] - places[x], sizes[y] - places[y])
+    # keys before one that share a bit with another key before it
+    hidden = ranks - np.bitwise_count(before).sum(1)
+    for x, y in across(keys, comps):
         must = -(-least[0] * (sizes[x] + sizes[y]) // (least[0] + least[1]))
-        can = room + SHARED - 1 >= must
-        x, y, need = nodes[x[can]], nodes[y[can]], np.minimum(must[can], SHARED)
+        room = np.minimum(sizes[x] - places[x], sizes[y] - places[y])
+        # of one of the two, all that is shared and not indexed comes after its index in the order
+        fits = (room + SHARED - 1 >= must) & (np.maximum(can[x], can[y]) >= must)
+        x, y, must, room = x[fits], y[fits], must[fits], room[fits]
+        # what is shared before this key, at most, and from it on must do
+        earlier = np.bitwise_count(before[x] & before[y]).sum(1) + np.minimum(hidden[x], hidden[y])
+        fits = room + np.minimum(earlier, SHARED - 1) >= must
+        x, y, need = nodes[x[fits]], nodes[y[fits]], np.minimum(must[fits], SHARED)
         pairs, times = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), need]), axis=1, return_counts=True)
         found.append(np.concatenate([pairs, times[None]]))
     return np.concatenate(found, axis=1)
 
 
-def _cross_pairs(placed: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """All pairs of nodes of different components that can be similar enough."""
-    buckets = BUCKETS_EACH * shuffle_partitions(placed.sparkSession)
+def _rows_of(batch: pa.RecordBatch, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a column of lists, and the row of each."""
+    column = batch.column(lists)
+    return np.asarray(column.flatten()), np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(column.offsets)))
+
+
+def _buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+
+
+def _met_keys(placed: DataFrame, buckets: int) -> DataFrame:
+    """``met_node, met``: those of a node's indexed shingles that a node of another component has in its index too."""
 
     def sent(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(3)
-            lengths = np.diff(np.asarray(lists.offsets))
-            keys = np.asarray(lists.flatten())
-            nodes, comps, sizes = (np.repeat(np.asarray(batch.column(k)), lengths) for k in range(3))
-            places = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            bucket = (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order].astype(np.int64)
-            columns = [c[order].astype(kind) for c, kind in ((keys, "<i8"), (nodes, "<i8"), (comps, "<i8"), (sizes, "<i4"), (places, "<i4"))]
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            rows = [(int(bucket[a]), *[c[a:b].tobytes() for c in columns]) for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True)]
-            for k in range(0, len(rows), 256):
-                part = list(zip(*rows[k : k + 256], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _ENTRIES, strict=True)], schema=_ENTRIES)
+            keys, row = _rows_of(batch, 2)
+            nodes, comps = (np.asarray(batch.column(k))[row] for k in range(2))
+            yield from by_bucket(_buckets_of(keys, buckets), {"keys": keys, "nodes": nodes, "comps": comps})
+        give_back()
+
+    def told(table: pa.Table) -> pa.Table:
+        keys, nodes, comps = (joined(table.column(c), "<i8") for c in ("keys", "nodes", "comps"))
+        order = np.lexsort((comps, keys))
+        keys, nodes, comps = keys[order], nodes[order], comps[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(keys)).astype(np.int64)
+        several = np.repeat(comps[starts] != comps[ends - 1], ends - starts) if len(keys) else np.zeros(0, bool)
+        order = np.argsort(nodes[several], kind="stable")
+        keys, nodes = keys[several][order], nodes[several][order]
+        starts = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])) if len(nodes) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(nodes)).astype(np.int32)), pa.array(keys))
+        out = pa.Table.from_arrays([pa.array(nodes[starts]), lists], names=["node", "keys"])
+        give_back()
+        return out
+
+    rows = placed.select("node", "comp", "prefix").mapInArrow(sent, "bucket int, keys binary, nodes binary, comps binary")
+    met = rows.groupBy("bucket").applyInArrow(told, "node long, keys array<long>")
+    return met.groupBy(F.col("node").alias("met_node")).agg(F.flatten(F.collect_list("keys")).alias("met"))
+
+
+def _partnered(placed: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """``node, comp, size, can, prefix, met`` of the nodes that may have a partner in another component.
+
+    A round over the index tells which of a node's indexed shingles anyone of
+    another component has; nodes with too few have no partner.  ``can`` is how
+    many shingles a node can share: those, and all that aren't indexed.
+    """
+    entries = placed.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
+    own = F.col("size")
+    needed = F.least(F.lit(SHARED), F.ceil(own * least[0] / least[1]))
+    met = _met_keys(placed, bucket_count(placed.sparkSession, entries, BUCKET_ENTRIES))
+    alive = placed.join(met, F.col("node") == F.col("met_node")).where(F.size("met") >= needed)
+    can = (own - F.size("prefix") + F.size("met")).cast("int")
+    return saved(alive.select("node", "comp", "size", can.alias("can"), "prefix", "met"), "alive")
 
-    def met(table: pa.Table) -> pa.Table:
-        columns = [np.frombuffer(b"".join(table.column(c).to_pylist()), kind).astype(np.int64) for c, kind in (("keys", "<i8"), ("nodes", "<i8"), ("comps", "<i8"), ("sizes", "<i4"), ("places", "<i4"))]
-        return pa.Table.from_arrays([pa.array(x) for x in _pairs_of_keys(*columns, least)], schema=_PAIRS)
 
-    entries = placed.select("node", "comp", "size", "prefix").mapInArrow(sent, "bucket int, keys binary, nodes binary, comps binary, sizes binary, places binary")
-    found = entries.groupBy("bucket").applyInArrow(met, "u long, v long, need long, n long").where("u < v")
+def _met_pairs(alive: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """All pairs ``(u, v)`` of nodes of different components that can be similar enough.
+
+    A pair is left out as soon as what comes before and after a shared shingle is too little.
+    """
+    entries = alive.agg(F.sum(F.size("met")).alias("n")).first()["n"] or 0
+    buckets = max(1, -(-entries // PAIR_ENTRIES))
+
+    def sent(batches):
+        for batch in batches:
+            parts = []
+            for node, comp, size, most, prefix, own_met in zip(*(batch.column(k) for k in range(6)), strict=True):
+                prefix = np.asarray(prefix.values)
+                at = np.flatnonzero(np.isin(prefix, np.asarray(own_met.values)))
+                n = len(at)
+                one = [np.full(n, v.as_py(), np.int64) for v in (node, comp, size, most)]
+                parts.append((prefix[at], one[0], one[1], one[2], at, one[3], np.arange(n), _signatures(prefix[at])))
+            if parts:
+                columns = dict(zip(_ENTRIES, map(np.concatenate, zip(*parts, strict=True)), strict=True))
+                bucket = _buckets_of(columns["keys"], buckets)
+                yield from by_bucket(bucket, {c: x.astype(_ENTRIES[c]) for c, x in columns.items()})
+        give_back()
+
+    def paired(table: pa.Table) -> pa.Table:
+        columns = {c: joined(table.column(c), kind) for c, kind in _ENTRIES.items()}
+        before = columns.pop("before").reshape(-1, WORDS)
+        pairs = _pairs_of_keys(*[x.astype(np.int64) for x in columns.values()], before, least)
+        give_back()
+        return pa.Table.from_arrays([pa.array(x) for x in pairs], schema=_PAIRS)
+
+    rows = alive.mapInArrow(sent, f"bucket int, {', '.join(f'{c} binary' for c in _ENTRIES)}")
+    found = rows.groupBy("bucket").applyInArrow(paired, "u long, v long, need long, n long").where("u < v")
     return found.groupBy("u", "v").agg(F.min("need").alias("need"), F.sum("n").alias("n")).where("n >= need").select("u", "v")
 
 
@@ -299,9 +407,14 @@ def _similar_pairs(pairs: DataFrame, slim: DataFrame, shingle: int, least: tuple
             if kept is None or a != before:
                 before, kept = a, shingles(a, shingle)
             out.append(similar(kept, shingles(b.as_py(), shingle), least))
+        kept = None
+        give_back()
         return pa.array(out, pa.bool_())
 
-    left, right = (slim.select(F.col("doc_id").alias(f"{c}n"), F.col("text").alias(f"{c}t")) for c in "uv")
+    # only texts of documents in question travel; their ids are sent to the tasks if they are few
+    asked = pairs.select(F.col("u").alias("asked")).unionByName(pairs.select(F.col("v").alias("asked"))).distinct()
+    texts = slim.join(small(asked, ASKED), F.col("doc_id") == F.col("asked"), "left_semi")
+    left, right = (texts.select(F.col("doc_id").alias(f"{c}n"), F.col("text").alias(f"{c}t")) for c in "uv")
     both = pairs.join(left, F.col("u") == F.col("un")).join(right, F.col("v") == F.col("vn"))
     return both.where(alike("ut", "vt")).select("u", "v")
 
@@ -331,6 +444,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = L
             prefix.append(indexed(h, common.value, least).view(np.int64))
             bands.append(_bands(h))
         longs = pa.list_(pa.int64())
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, longs), pa.array(bands, longs)],
             names=["digest", "size", "prefix", "bands"],
@@ -339,8 +453,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = L
     fps = saved(slim.select("doc_id", sets("text").alias("s")).select("doc_id", "s.*"), "sets")
     nodes = saved(fps.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", "prefix", "bands")]), "nodes")
     near = stars(_similar_pairs(saved(_leader_pairs(nodes), "pairs"), slim, shingle, least))
-    placed = nodes.join(near, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("comp"), "size", "prefix")
-    pairs = saved(_cross_pairs(placed, least), "pairs")
+    placed = saved(nodes.join(near, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("comp"), "size", "prefix"), "placed")
+    alive = _partnered(placed, least)
+    discard(placed)
+    pairs = saved(_met_pairs(alive, least), "pairs")
+    discard(alive)
     final = stars(near.unionByName(_similar_pairs(pairs, slim, shingle, least)))
     named = nodes.join(final, F.col("node") == F.col("u"), "left").select(F.col("digest").alias("d"), F.coalesce("v", "node").alias("component_id"))
     return fps.join(named, F.col("digest") == F.col("d")).select("doc_id", "component_id")
