@@ -8,9 +8,11 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnwell.llm import ann, bpe, mixing, quality, simhash, substring, topk, toxicity, urls, warc
+from tarnwell.llm import ann, bpe, mixing, packed, quality, simhash, substring, topk, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,7 +25,7 @@ def documents(spark, data, **extra):
     """Rows (doc_id, text[, source]) as documents, with columns whose names clash with internal ones."""
     full = [(d[0], d[1], "en", d[2] if len(d) > 2 else "s", len(d[1] or "")) for d in data]
     df = spark.createDataFrame(full, DOCS)
-    for name in ("fp", "u", "v", "size", "_doc", "_gone", "_keys", "bucket", "keys", "score", "target", "draw"):
+    for name in ("fp", "u", "v", "size", "_doc", "_gone", "_keys", "bucket", "keys", "score", "target", "draw", "_n_words", "_n_removed", "_kept", "_score", "_predicted", "_p", "_rejected"):
         df = df.withColumn(name, F.lit(name))
     return df
 
@@ -91,7 +93,7 @@ def test_simhash_groups(spark):
             assert r.fp & (2**64 - 1) == fps[r.doc_id] and r.component_id == least[find(fps[r.doc_id])]
 
 
-def test_every_pair_of_near_fingerprints_meets_once(spark):
+def test_fingerprints_are_linked_as_by_all_pairs(spark):
     rng = random.Random(5)
     values = set()
     for _ in range(30):
@@ -99,10 +101,31 @@ def test_every_pair_of_near_fingerprints_meets_once(spark):
         values.add(v)
         for _ in range(6):
             values.add(v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
-    signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    got = [frozenset((r.u & (2**64 - 1), r.v & (2**64 - 1))) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()]
-    expected = {frozenset(p) for p in itertools.combinations(values, 2) if (p[0] ^ p[1]).bit_count() <= 4}
-    assert len(got) == len(set(got)) and set(got) == expected
+    signed = sorted(v - 2**64 if v >= 2**63 else v for v in values)
+    for bits in (2, 4):
+        root = {v: v for v in signed}
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in itertools.combinations(signed, 2):
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= bits:
+                a, b = sorted((find(a), find(b)))
+                root[b] = a
+        got = {r.u: r.v for r in simhash.linked(spark.createDataFrame([(v,) for v in signed], "fp long"), bits).collect()}
+        assert got == {v: find(v) for v in signed if find(v) != v}
+
+
+def test_a_large_class_has_few_links(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(63)
+    values = sorted({base ^ sum(1 << b for b in rng.sample(range(63), 2)) for _ in range(3000)})
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    assert simhash._leader_links(fps, 4).count() <= 9 * len(values)
+    got = simhash.linked(fps).collect()
+    assert len(got) == len(values) - 1 and {r.v for r in got} == {values[0]}
 
 
 def test_simhash_dedup_and_empty(spark):
@@ -193,6 +216,25 @@ def test_substring(spark, monkeypatch, window, chunk):
     assert sorted((tuple(r) for r in got), key=repr) == slow_removal(data, window)
 
 
+def test_a_repeated_id_is_no_copy_unless_all_its_rows_are(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    data = [(1, a), (5, a), (5, b), (6, a), (6, a), (7, c), (7, c), (8, b + " " + c)]
+    got = substring.dedup(documents(spark, data)).select("doc_id", "_n_words", "_n_removed", "_kept").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == slow_removal(data, 13)
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 200])
+def test_substring_does_not_depend_on_partitions(spark, partitions):
+    data = list(enumerate(some_texts(7, 80)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = substring.dedup(documents(spark, data)).select("doc_id", "_n_words", "_n_removed", "_kept").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((tuple(r) for r in got), key=repr) == slow_removal(data, 13)
+
+
 def test_substring_removed_keeps_columns(spark):
     long = " ".join(f"w{i}" for i in range(40))
     df = documents(spark, [(1, long), (2, long), (3, f"own  text {long}"), (4, None)])
@@ -205,7 +247,7 @@ def test_substring_removed_keeps_columns(spark):
 def test_substring_tells_windows_apart(spark):
     made = [f"w{i}".encode() for i in range(1_500_000)]
     hashes = substring.rolling(substring.word_hashes(made), 13)
-    keys = substring.full_key(hashes, substring.BUCKETS_EACH * 4)  # the session's shuffle partitions
+    keys = substring.full_key(hashes, packed.BUCKETS_EACH * 4)  # the session's shuffle partitions
     order = np.argsort(keys)
     same = np.flatnonzero((keys[order][1:] == keys[order][:-1]) & (hashes[order][1:] != hashes[order][:-1]))
     assert len(same)
@@ -355,6 +397,29 @@ def test_urls(spark):
     assert urls.judge(pages.where("false"), labels, RULES, F.col("quality") == 0).count() == 0
 
 
+def test_mined_rules_are_those_of_all_combinations(spark):
+    rng = random.Random(21)
+    baskets = []
+    for _ in range(160):
+        t = sorted({f"t{min(int(rng.expovariate(0.4)), 9)}" for _ in range(rng.randint(1, 6))})
+        baskets.append((t, rng.random() < (0.9 if {"t1", "t3"} <= set(t) else 0.25)))
+    n, bad = len(baskets), sum(b for _, b in baskets)
+    expected = {}
+    for size in range(1, 7):
+        for rule in itertools.combinations(sorted({x for t, _ in baskets for x in t}), size):
+            having = [b for t, b in baskets if set(rule) <= set(t)]
+            if having and sum(having) >= 0.03 * n and sum(having) / len(having) >= max(0.5, 1.3 * bad / n):
+                expected[rule] = sum(having) / len(having)
+    df = spark.createDataFrame(baskets + [(["t1"], None), ([], True)], "tokens array<string>, bad boolean")
+    rules = urls.mine(df, 0.03, 0.5, 1.3)
+    got = {tuple(sorted(r.rule)): r.confidence for r in rules.collect()}
+    assert len(expected) > 5 and got == pytest.approx(expected)
+    pages = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(baskets)], "page_id long, tokens array<string>")
+    found = {r.page_id: r.confidence for r in urls.matches(pages, rules).collect()}
+    best = {i: max([c for r, c in expected.items() if set(r) <= set(t)], default=None) for i, (t, _) in enumerate(baskets)}
+    assert found == pytest.approx({i: c for i, c in best.items() if c is not None})
+
+
 def test_a_long_rule_blocks(spark):
     names = "abcde"
     bad = [(i, "/".join(names)) for i in range(40)]
@@ -380,9 +445,8 @@ def vectors(spark, n=400, d=16, seed=4):
 
 
 def test_topk(spark, monkeypatch):
-    from tarnwell.llm import blocks
-
-    monkeypatch.setattr(blocks, "ROWS", 150)
+    monkeypatch.setattr(topk, "ROWS", 150)
+    monkeypatch.setattr(topk, "QUERIES", 7)
     df, data = vectors(spark)
     rows = [(i, np.floor(64 * np.array(v, dtype=np.float64)).astype(np.int64)) for i, v, _ in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     got = {}
@@ -397,14 +461,34 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(df.where("vec_id < 3")).count() == 2
 
 
-def test_lists_stop_early():
+def test_lists_are_read_in_part():
     rng = np.random.default_rng(1)
-    rows = rng.integers(-3, 4, (3000, 8)).astype(float)
-    rows[:30] += 40
+    middles = rng.normal(size=(40, 64))
+    middles /= np.linalg.norm(middles, axis=1, keepdims=True)
+    rows = middles[rng.integers(0, 40, 6000)] + 0.01 * rng.normal(size=(6000, 64))
+    rows = np.floor(64 * rows).astype(np.float32)
+    queries = rows[:200]
+    lists = topk.SubspaceLists(rows)
+    for at in range(0, 200, 32):
+        for q, (found, scores) in zip(queries[at : at + 32], lists.top(queries[at : at + 32], 20), strict=True):
+            every = rows @ q
+            assert np.array_equal(scores, every[found])
+            assert set(np.flatnonzero(every > np.sort(every)[-20])) <= set(found.tolist())
+    assert lists.read < 0.5 * lists.entries
+    # with the bar of another block little is read of one that has nothing for the query
     lists = topk.SubspaceLists(rows)
-    (found, scores), *_ = lists.top(np.ones((2, 8)), 10)
-    assert sum(lists.depths_read) < 2 * len(rows) and set(np.argsort(-(rows.sum(1)))[:10]) <= set(found.tolist())
-    assert np.array_equal(scores, rows[found].sum(1))
+    found = lists.top(-queries[:32], 20, np.full(32, 4000.0))
+    assert lists.read < 0.25 * lists.entries and not any(len(f) for f, _ in found)
+
+
+def test_lists_of_anything_are_exact():
+    rng = np.random.default_rng(2)
+    for n, d in ((300, 1), (500, 3), (2000, 64)):
+        rows = np.floor(64 * rng.normal(size=(n, d)))
+        lists = topk.SubspaceLists(rows)
+        for q, (found, scores) in zip(rows[:40], lists.top(rows[:40], 7), strict=True):
+            every = rows @ q
+            assert sorted(scores)[-7:] == sorted(every)[-7:] and set(np.flatnonzero(every >= np.sort(every)[-7])) <= set(found.tolist())
 
 
 def test_ann(spark):
@@ -503,15 +587,38 @@ def test_bpe(spark, vocabulary):
     ranks = bpe.read_ranks(path)
     reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     data = [(i, t) for i, t in enumerate(odd_texts())] + [(500, None), (None, "no id"), (1, "twice"), (1, "twice")]
-    got = bpe.encode(documents(spark, data), path, pattern).collect()
     expected = [(i, reference.encode_ordinary(t or "")) for i, t in data]
-    assert sorted(((r.doc_id, list(r.ids)) for r in got), key=repr) == sorted(expected, key=repr)
-    trip = bpe.round_trip(documents(spark, data), path, pattern).collect()
+    for spaced in (False, True):
+        got = bpe.encode(documents(spark, data), path, pattern, spaced)
+        assert sorted(((r.doc_id, list(r.ids)) for r in got.collect()), key=repr) == sorted(expected, key=repr)
+    decoded = got.select("doc_id", bpe.decoder(got, path)("ids").alias("b")).collect()
+    assert sorted(((r.doc_id, bytes(r.b).decode()) for r in decoded), key=repr) == sorted(((i, t or "") for i, t in data), key=repr)
+    trip = bpe.round_trip(documents(spark, data), path, pattern, spaced=True).collect()
     digests = [(i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for (i, t), (_, x) in zip(data, expected, strict=True)]
     assert sorted(map(tuple, trip), key=repr) == sorted(digests, key=repr)
     assert bpe.encode(documents(spark, data).where("false"), path, pattern).count() == 0
 
 
+@given(st.lists(st.sampled_from([*"ab'.1 \n\t\r\x85\xa0\u3000\u2003\x1c\0", "  ", "\n ", "'s", "é"]), max_size=30))
+def test_words_are_cut_where_the_pattern_cuts(parts):
+    import regex
+
+    pattern = regex.compile(bpe.piece_pattern(pytest.importorskip("public_tokenizers").PATTERN))
+    text = "".join(parts)
+    assert "".join(bpe.words_of(text)) == text
+    assert [p for w in bpe.words_of(text) for p in pattern.findall(w)] == pattern.findall(text)
+
+
+def test_words_beyond_the_store(spark, vocabulary):
+    path, pattern = vocabulary
+    docs = documents(spark, list(enumerate(some_texts())))
+    whole = sorted(map(tuple, bpe.round_trip(docs, path, pattern, True).collect()))
+    for store in (0, 3):
+        few = bpe.Vocabulary(docs, path, pattern, True, store)
+        assert len(few.encoder().store) == store
+        assert [len(b"".join(x)) // 4 for x in few.encoder().encode(t for _, t in enumerate(some_texts()))] == [sum(r[1] for r in whole)]
+
+
 def test_merges_may_run_backwards():
     # "abc" has a lower rank than "ab" and "bc": a merge makes an earlier one possible
     ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257, b"bc": 258, b"abab": 259}
