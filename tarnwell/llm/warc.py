@@ -1,9 +1,11 @@
 """WARC archives whose repeated payloads are revisit records.
 
 Writing: headers (id and payload digest) are shuffled by digest to find each
-payload's original; the pages join the originals and become records, which
-Spark's text writer streams out as gzip files with the record separator of the
-format between them.  Reading: each archive is inflated piece by piece and cut
+payload's original; the pages join what was found by their own id, so that
+copies of a payload don't gather anywhere, and become records, which Spark's
+text writer streams out as gzip files with the record separator of the format
+between them.  A file is one gzip member without a ``warcinfo`` record; readers
+that go through a file in order take it, those that seek to records don't.  Reading: each archive is inflated piece by piece and cut
 by ``Content-Length``; revisits then join the originals by digest.
 """
 
@@ -27,8 +29,9 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE32_HEX = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
-#: Records an archive file holds at most; keeps a file readable by one task.
+#: Records and bytes (before compression) that an archive file holds at most; a task reads a file whole.
 FILE_RECORDS = 4000
+FILE_BYTES = 1 << 30
 RECORD_ID = "<urn:page:"
 
 RECORDS = (
@@ -60,24 +63,19 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     row is an original itself: smaller payloads than ``least_bytes``, and rows
     that repeat the original's id.
     """
-    rows = pages.select(
-        "page_id",
-        "url",
-        F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"),
-    ).select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    headers = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("p")).select(
-        "page_id", base32_sha1(F.col("p")).alias("_digest")
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", payload.alias("payload")).select(
+        "*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")
     )
-    first = headers.groupBy("_digest").agg(F.min("page_id").alias("_first"))
-    same = F.col("page_id").eqNullSafe(F.col("_first")) | (F.col("payload_bytes") < least_bytes)
-    return rows.join(first, F.col("payload_digest") == F.col("_digest")).select(
-        "page_id",
-        "url",
-        "payload",
-        "payload_bytes",
-        "payload_digest",
-        F.when(~same, F.col("_first")).alias("original"),
+    headers = pages.select("page_id", payload.alias("p")).select(
+        F.col("page_id").alias("_page"), F.octet_length("p").alias("_bytes"), base32_sha1(F.col("p")).alias("_digest")
     )
+    # headers only meet by digest; a payload that is everywhere is one row of the smaller side
+    first = headers.groupBy(F.col("_digest").alias("_d")).agg(F.min("_page").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = ~F.col("_page").eqNullSafe(F.col("original")) & (F.col("_bytes") >= least_bytes)
+    revisits = headers.join(first, F.col("_digest") == F.col("_d")).where(later).select("_page", "_digest", "original").distinct()
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+    return rows.join(revisits, same, "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", "original")
 
 
 def _record(date: str) -> Column:
@@ -118,14 +116,16 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-0
     becomes the record's own name; white space and control bytes in a url are
     percent-encoded.  Rows that repeat id and payload are written again with
     the same type.  No rows: archives without records.  Extra columns are
-    ignored.
+    ignored.  Where there are very long pages, files hold fewer records.
     """
+    most = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    records = max(1, min(FILE_RECORDS, FILE_BYTES // (most + 4096)))
     (
         with_roles(pages, least_bytes)
         .select(_record(date).alias("value"))
         .write.option("lineSep", "\r\n\r\n")
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", FILE_RECORDS)
+        .option("maxRecordsPerFile", records)
         .text(path)
     )
 
