@@ -2,8 +2,8 @@
 
 FP-growth finds combinations of URL tokens that occur together with a label;
 those with enough support and confidence are kept as rules.  A rule is indexed
-under its rarest token, so that a URL meets only rules of tokens it has, and is
-then checked for the rest.
+under the token that is rarest among the URLs to be judged, so that a URL meets
+only rules of such tokens, and is then checked for the rest.
 """
 
 from __future__ import annotations
@@ -62,7 +62,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     """Rules ``(rule array<string>, confidence, support)`` from ``labelled(tokens, bad)``.
 
     None where there is nothing to mine (no labelled URL, or none bad).
-    Rows whose label is null take no part.
+    Rows whose label is null take no part; rows that repeat count each.  All
+    combinations of enough support are rules, however many tied at a bound.
     """
     baskets = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(
         F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"), "bad"
@@ -85,18 +86,22 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Ids of ``urls(page_id, tokens)`` that some rule fits, with the best confidence.
 
-    A rule stands in the index under its rarest token only.  The rules are
-    bounded by 1 / min_support, not by the data.
+    A rule stands in the index under that of its tokens that the fewest of the
+    URLs have (of equally rare ones the first), so that a token that all URLs
+    have leads to no rule that a rarer one leads to.  A rule with a token that
+    no URL has fits none.
     """
+    probes = urls.select("page_id", "tokens", F.explode("tokens").alias("anchor"))
     spread = rules.select("rule", "confidence", F.explode("rule").alias("token"))
-    common = spread.groupBy("token").agg(F.count("*").alias("uses"))
+    wanted = spread.select(F.col("token").alias("wanted")).distinct()
+    common = probes.join(wanted, F.col("anchor") == F.col("wanted")).groupBy(F.col("wanted").alias("met")).agg(F.count("*").alias("uses"))
     index = (
-        spread.join(common, "token")
+        spread.join(common, F.col("token") == F.col("met"))
         .groupBy("rule", "confidence")
-        .agg(F.min_by("token", F.struct("uses", "token")).alias("anchor"))
+        .agg(F.min_by("token", F.struct("uses", "token")).alias("key"), F.count("*").alias("tokens_met"))
+        .where(F.col("tokens_met") == F.size("rule"))
     )
-    probes = urls.select("page_id", "tokens", F.explode("tokens").alias("anchor"))
-    fits = probes.join(index, "anchor").where(F.size(F.array_except("rule", "tokens")) == 0)
+    fits = probes.join(index, F.col("anchor") == F.col("key")).where(F.size(F.array_except("rule", "tokens")) == 0)
     return fits.groupBy("page_id").agg(F.max("confidence").alias("confidence"))
 
 
