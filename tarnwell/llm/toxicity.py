@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small, worker_state
+from .common import drawn, give_back, saved, worker_state
 
 #: Labelled rows used for fitting, at most (chosen by a hash of their id).
 SAMPLE_ROWS = 12_000
@@ -32,7 +32,7 @@ LEAST_DOCUMENTS = 4
 LEAST_SCORE = 4.5
 FOLDS = 3
 #: Tokens a worker remembers the features of.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -152,21 +152,19 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int) -> DataFrame:
-    """At most about ``rows`` labelled documents, chosen by a hash of the id."""
+    """At most ``rows`` labelled documents, the first in the order of a hash of the id; one row of each id."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         *[F.max(c.cast("int")).alias(f"_y{k}") for k, c in enumerate(categories.values())]
     )
     known = known.na.drop()
-    n = known.count()
-    share = min(1.0, rows / max(n, 1))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # about ``rows`` ids, however large the input
-    picked = small(picked.withColumnRenamed("doc_id", "_id"), 2 * rows)
-    return docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).drop("_id")
+    picked = F.broadcast(drawn(known, rows, known.count(), 6).withColumnRenamed("doc_id", "_id"))
+    found = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id"))
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return found.join(known.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = SAMPLE_ROWS) -> Chain:
-    """Fit a chain on at most ``rows`` labelled documents.
+    """Fit a chain on at most ``rows`` labelled documents, of a repeated id on one row.
 
     ``categories`` names the categories in the order of the chain and gives
     each as a boolean column of ``labels``.  Rows whose id or labels are null
@@ -197,6 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows:
                 [pa.array(part, pa.string()), *[pa.array([c[t] for t in part], pa.int64()) for c in (n, *by)]],
                 names=["token", "n", *ys],
             )
+        n, by = Counter(), []
+        give_back()
 
     schema = "token string, n long, " + ", ".join(f"{y} long" for y in ys)
     totals = sample.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
@@ -277,8 +277,11 @@ def scorer(docs: DataFrame, chain: Chain):
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``docs`` with ``_p`` (probabilities) and ``_rejected`` (some category but
-    those that only support others is likely); the last category decides."""
+    """``docs`` with ``_p`` (probabilities) and ``_rejected``, which the last category decides.
+
+    One row per input row; null and empty texts are scored as texts without
+    tokens.  Columns of these names are replaced.
+    """
     last = len(chain.categories) - 1
     return docs.withColumn("_p", scorer(docs, chain)("text")).withColumn(
         "_rejected", F.col("_p")[last] >= F.lit(chain.thresholds[last])
@@ -286,6 +289,10 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def kept(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``docs`` without those that the chain's last category rejects."""
+    """``docs`` without those that the chain's last category rejects, with all their columns.
+
+    A probability at the threshold is rejected.  Null and empty texts are judged
+    as texts without tokens; repeated rows are judged each.
+    """
     last = len(chain.categories) - 1
     return docs.where(scorer(docs, chain)("text")[last] < F.lit(chain.thresholds[last]))
