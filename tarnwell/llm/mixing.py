@@ -50,13 +50,17 @@ def cyclic_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
     return sources.withColumn("position", position).withColumn("weight", (F.col("position") - 1) % cycle + 1)
 
 
-def sampling_key(doc_id: Column, seed: int) -> Column:
-    """A seeded pseudo-random order of documents that any engine can recompute."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def sampling_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A seeded pseudo-random order of documents that any engine can recompute.
+
+    The text has a part in it, so that rows of a repeated or missing id are spread too.
+    """
+    own = F.coalesce(F.md5(text.cast("binary")), F.lit("null"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), own).cast("binary"))
 
 
 def _measured(docs: DataFrame, seed: int, *columns: Column) -> DataFrame:
-    draw = sampling_key(F.col("doc_id"), seed)
+    draw = sampling_key(F.col("doc_id"), F.col("text"), seed)
     return docs.select(
         *columns,
         F.col("source").alias("_source"),
@@ -161,7 +165,7 @@ def mixed(docs: DataFrame, max_epochs: int = 3, seed: int = 42, cycle: int = 3)
 
 MIX_SQL = """
 WITH m AS (
-  SELECT doc_id, source, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw,
+  SELECT doc_id, source, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')) AS draw,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM {docs}
 ), s AS (
