@@ -44,11 +44,16 @@ def fingerprint(text: str | None, shingle: int) -> int:
     digest = xxhash.xxh64_intdigest
     last = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     hashes = [digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last, strict=True)]
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit number of the bits that over half of the hashes have."""
     counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 1 << 15):
-        part = np.array(hashes[k : k + (1 << 15)], dtype=">u8")
+    for k in range(0, len(hashes), 1 << 15):
+        part = hashes[k : k + (1 << 15)].astype(">u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n).view(">i8")[0])
+    return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
 
 
 def fingerprint_column(shingle: int):
@@ -90,9 +95,9 @@ def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links_across(classes: DataFrame, max_bits: int) -> DataFrame:
-    """All pairs of ``classes(fp, class)`` of different classes that differ in at most ``max_bits`` bits.
+    """All pairs of ``classes(fp, class)`` of different classes that share a variant and differ in at most ``max_bits`` bits.
 
-    Two such share a segment but for one bit at most, so they share a variant.
+    Two that differ in at most four bits share a segment but for one bit at most, so they share a variant.
     """
     buckets = bucket_count(classes.sparkSession, 64 * classes.count(), BUCKET_ENTRIES)
 
@@ -175,9 +180,13 @@ def dedup(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> DataFr
 
 #: Jaccard similarity of the shingle sets from which documents are near-duplicates, as a fraction.
 LEAST = (4, 5)
-#: Bands of a document and minima in each, for the first links of large groups.
+#: Differing bits up to which fingerprints that share a variant make a pair to be compared in full.
+NEAR_BITS = 8
+#: Bands of a document and minima in each, for the first links of large groups, and nodes
+#: of a band from which it is large.
 BANDS = 8
 MINIMA = 3
+LARGE = 16
 #: Documents in which common shingles are looked for, about, in how many of them one must
 #: be, and how many are told to every task.  They only move shingles in the order in which a
 #: document's are indexed; the pairs found are the same with any order.
@@ -266,14 +275,45 @@ def _common_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
     return known[order], n[order]
 
 
-def _leader_pairs(nodes: DataFrame) -> DataFrame:
-    """Nodes that share a band with a smaller node, each with the smallest that does."""
+def _large_pairs(nodes: DataFrame) -> DataFrame:
+    """Nodes that share a band with LARGE nodes or more, each with the smallest of them."""
     whole = nodes.select("node", F.explode("bands").alias("key"))
-    first = whole.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("u"))
+    first = whole.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("u"), F.count("*").alias("n")).where(F.col("n") >= LARGE)
     met = whole.join(first, F.col("key") == F.col("k")).where(F.col("node") != F.col("u"))
     return met.select("u", F.col("node").alias("v")).distinct()
 
 
+def _nodes_of(links: DataFrame, owners: DataFrame) -> DataFrame:
+    """Links of fingerprints as pairs ``(u, v)`` of the nodes that ``owners(fp, owner)`` name."""
+    left, right = (owners.select(F.col("fp").alias(f"{c}f"), F.col("owner").alias(f"{c}n")) for c in "uv")
+    met = links.join(left, F.col("u") == F.col("uf")).join(right, F.col("v") == F.col("vf")).where("un <> vn")
+    return met.select(F.least("un", "vn").alias("u"), F.greatest("un", "vn").alias("v")).distinct()
+
+
+def fingerprint_links(nodes: DataFrame, slim: DataFrame, shingle: int, least: tuple[int, int] = LEAST, max_bits: int = NEAR_BITS) -> DataFrame:
+    """Stars ``(u, v)`` of similar nodes by their fingerprints: ``nodes(node, fp, bands)``.
+
+    Nodes of one fingerprint meet its smallest node, and fingerprints the
+    leaders of their segments; then those of different classes meet that share
+    a variant and differ in at most ``max_bits`` bits.  Whatever meets is
+    compared in full, so no dissimilar pair is linked.  Bands only join large
+    groups beforehand, lest they be paired out.
+    """
+    owners = saved(nodes.groupBy("fp").agg(F.min("node").alias("owner")), "owners")
+    same = nodes.join(owners.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).where("node <> owner").select(F.col("owner").alias("u"), F.col("node").alias("v"))
+    leaders = _nodes_of(_leader_links(owners.select("fp"), max_bits), owners)
+    pairs = saved(same.unionByName(leaders).unionByName(_large_pairs(nodes)).distinct(), "pairs")
+    first = stars(_similar_pairs(pairs, slim, shingle, least))
+    discard(pairs)
+    classed = owners.join(first, F.col("owner") == F.col("u"), "left").select("fp", F.coalesce("v", "owner").alias("class"))
+    classes = saved(classed, "classes")
+    pairs = saved(_nodes_of(_links_across(classes, max_bits).distinct(), owners), "pairs")
+    found = stars(first.unionByName(_similar_pairs(pairs, slim, shingle, least)))
+    for done in (owners, classes, pairs):
+        discard(done)
+    return found
+
+
 def _signatures(keys: np.ndarray) -> np.ndarray:
     """For each of a node's keys, in order, the bits of those before it."""
     bit = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(64 * WORDS)
@@ -423,36 +463,37 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = L
     """``doc_id, component_id`` of near-duplicates by the Jaccard similarity of shingle sets.
 
     Every pair of documents whose sets have a similarity of ``least`` or more is
-    linked, and no other pair.  A document is indexed under the first of its
-    shingles, so many that two similar sets must share SHARED of them, and pairs
-    that do are compared in full.  Before that, every node is compared
-    to the smallest that shares a band of minima with it, which joins large
-    groups by as many links as they have nodes; only pairs across groups are
-    then looked for.  Documents without an id take no part; null and empty
-    texts are alike.
+    linked, and no other pair.  Documents first meet by the deletion variants of
+    their SimHash fingerprints (:func:`fingerprint_links`), and those that meet
+    are compared in full.  Similar sets whose fingerprints differ too much are
+    then looked for across the groups so found, exactly: a document is indexed
+    under the first of its shingles, so many that two similar sets must share
+    SHARED of them, and pairs that do are compared in full.  Documents without
+    an id take no part; null and empty texts are alike.
     """
     slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = slim.sparkSession.sparkContext.broadcast(_common_shingles(slim, shingle))
 
-    @F.arrow_udf("struct<digest: binary, size: int, prefix: array<long>, bands: array<long>>")
+    @F.arrow_udf("struct<digest: binary, size: int, fp: long, prefix: array<long>, bands: array<long>>")
     def sets(texts: pa.Array) -> pa.Array:
-        digest, size, prefix, bands = [], [], [], []
+        digest, size, fp, prefix, bands = [], [], [], [], []
         for t in texts:
             h = shingle_hashes(t.as_py(), shingle)
             digest.append(xxhash.xxh3_128_digest(h.tobytes()))
             size.append(len(h))
+            fp.append(majority(h))
             prefix.append(indexed(h, common.value, least).view(np.int64))
             bands.append(_bands(h))
         longs = pa.list_(pa.int64())
         give_back()
         return pa.StructArray.from_arrays(
-            [pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, longs), pa.array(bands, longs)],
-            names=["digest", "size", "prefix", "bands"],
+            [pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(prefix, longs), pa.array(bands, longs)],
+            names=["digest", "size", "fp", "prefix", "bands"],
         )
 
     fps = saved(slim.select("doc_id", sets("text").alias("s")).select("doc_id", "s.*"), "sets")
-    nodes = saved(fps.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", "prefix", "bands")]), "nodes")
-    near = stars(_similar_pairs(saved(_leader_pairs(nodes), "pairs"), slim, shingle, least))
+    nodes = saved(fps.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", "fp", "prefix", "bands")]), "nodes")
+    near = fingerprint_links(nodes.select("node", "fp", "bands"), slim, shingle, least)
     placed = saved(nodes.join(near, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("comp"), "size", "prefix"), "placed")
     alive = _partnered(placed, least)
     discard(placed)

@@ -185,6 +185,41 @@ def test_similar_pairs_are_all_found_and_no_other(spark):
     assert linked > 100 and got == {d: find(d) for d in sets}
 
 
+def test_fingerprint_links(spark):
+    line = " ".join(f"w{i}" for i in range(100))
+    near = [line.replace("w50", f"e{i}") for i in range(4)]
+    data = [(10 + i, t) for i, t in enumerate(near)] + [(20, "b " * 50), (21, "some other words that are nothing like them")]
+    # from the first: one bit of its first segment and seven others; nine bits; eight, but no segment with less than two
+    bits = {10: 0, 11: 1 | 0b1111 << 21 | 0b111 << 42, 12: 3 << 20 | 0b1111 << 30 | 0b111 << 50, 13: 3 << 5 | 0b111 << 30 | 0b111 << 55}
+    fps = bits | {20: 1 << 62, 21: 1 << 62}
+    nodes = spark.createDataFrame([(n, f, [100 * n + k for k in range(8)]) for n, f in fps.items()], "node long, fp long, bands array<long>")
+    assert [p for p in itertools.combinations(bits, 2) if _meet(bits, *p)] == [(10, 11)]
+    got = {r.u: r.v for r in simhash.fingerprint_links(nodes, documents(spark, data), 5).collect()}
+    assert got == {11: 10}  # 20 and 21 have one fingerprint, but not similar texts
+
+
+def _meet(bits, a, b):
+    x = bits[a] ^ bits[b]
+    return x.bit_count() <= 8 and any((x >> low & ((1 << width) - 1)).bit_count() <= 1 for low, width in simhash.SEGMENTS)
+
+
+def test_similar_groups_meet_by_fingerprints(spark, monkeypatch):
+    """Near copies meet as variants of SimHash fingerprints and are joined by it, before anything else is looked for."""
+    rng = random.Random(21)
+    data = []
+    for g in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        data += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base[:-1], "last"]))]
+    seen, across = set(), simhash._links_across
+    monkeypatch.setattr(simhash, "_links_across", lambda classes, *rest: seen.update(r.fp & (2**64 - 1) for r in classes.collect()) or across(classes, *rest))
+    joined, partnered = [], simhash._partnered
+    monkeypatch.setattr(simhash, "_partnered", lambda placed, least: joined.extend(placed.where("node <> comp").collect()) or partnered(placed, least))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, data)).collect()}
+    fps = {d: slow_fingerprint(t, 5) for d, t in data}
+    assert seen == set(fps.values()) and got == {d: d - d % 2 for d in fps}
+    assert {r.node for r in joined} >= {d for d in fps if d % 2 and _meet(fps, d, d - 1)} and len(joined) > 20
+
+
 # 2 --------------------------------------------------------------------------
 
 
