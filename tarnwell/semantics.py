@@ -5,16 +5,20 @@ What isn't data (tags, refusals, profiles) is shown as rows, so that it is compa
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import sqlite3
 import tempfile
 from contextlib import closing
+from itertools import batched
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarnwell import errors, profile
 from tarnwell.governance import rls
@@ -571,10 +575,9 @@ def excel_range(spark, sf_dir):
 
 def _database(spark, sf_dir) -> str:
     path = _local("x.db")
-    rows = [tuple(r) for r in _customers(spark, sf_dir).collect()]
     with closing(sqlite3.connect(path)) as db:
         db.execute("CREATE TABLE people (c_custkey INTEGER, c_name TEXT, c_acctbal REAL, c_mktsegment TEXT)")
-        db.executemany("INSERT INTO people VALUES (?, ?, ?, ?)", rows)
+        db.executemany("INSERT INTO people VALUES (?, ?, ?, ?)", _customers(spark, sf_dir).toLocalIterator())
         db.commit()
     return path
 
@@ -648,21 +651,25 @@ def chained_write(spark, sf_dir):
 
 @_frame("SELECT 'parquet' AS source, count(*) AS n, TRUE AS exact FROM customer UNION ALL SELECT 'csv', count(*), TRUE FROM customer UNION ALL SELECT 'json', count(*), TRUE FROM customer UNION ALL SELECT 'sqlite', count(*), TRUE FROM customer UNION ALL SELECT 'excel', count(*), TRUE FROM customer")
 def profile_sources(spark, sf_dir):
+    """Each source is written and read in batches: the driver holds none of them whole."""
     people, made = _customers(spark, sf_dir), {}
-    for kind in ("csv", "json"):
-        path = _local(f"x.{kind}")
-        frame = people.toPandas()
-        frame.to_csv(path, index=False) if kind == "csv" else frame.to_json(path, orient="records", lines=True)
-        made[kind] = getattr(profile, f"profile_{kind}")(path)
+    schema = to_arrow_schema(people.schema)
+    places = {kind: _local(f"x.{kind}") for kind in ("csv", "json", "parquet")}
+    with open(places["csv"], "w", newline="", encoding="utf-8") as c, open(places["json"], "w", encoding="utf-8") as j, pq.ParquetWriter(places["parquet"], schema) as p:
+        lines = csv.writer(c, lineterminator="\n")
+        lines.writerow(people.columns)
+        for batch in batched(people.toLocalIterator(), 10_000):
+            lines.writerows(batch)
+            records = [r.asDict() for r in batch]
+            j.writelines(json.dumps(r) + "\n" for r in records)
+            p.write_table(pa.Table.from_pylist(records, schema))
+    made["csv"] = profile.profile_csv(places["csv"])
+    made["json"] = profile.profile_json(places["json"])
     path = _local("x.xlsx")
     lower(n.write_excel(n.dataframe(people), path), Context(spark))
     made["excel"] = profile.profile_excel(path)
     made["sqlite"] = profile.profile_sqlite(_database(spark, sf_dir), "people")
-    copy = _local("c.parquet")
-    import pyarrow.parquet as pq
-
-    pq.write_table(people.toArrow(), copy)
-    made["parquet"] = profile.profile_parquet(copy)
+    made["parquet"] = profile.profile_parquet(places["parquet"])
     return _rows(spark, [(k, p.rows, p.exact) for k, p in made.items()], "source string, n bigint, exact boolean")
 
 

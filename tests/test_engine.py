@@ -489,6 +489,51 @@ def test_profiles_of_large_files(tmp_path, monkeypatch):
         p.profile_csv(str(tmp_path / "none.csv"))
 
 
+def test_workbooks_and_profiles_are_read_in_batches(spark, tmp_path, monkeypatch):
+    import tracemalloc
+
+    from tarnwell import profile as p
+    from tarnwell.sources import excel
+
+    monkeypatch.setattr(p, "BATCH_ROWS", 500)
+
+    def most(rows: int) -> int:
+        """Bytes held at most while a sheet of so many rows is written and profiled."""
+        path = str(tmp_path / f"{rows}.xlsx")
+        tracemalloc.start()
+        excel.write_sheet(path, ["a", "b"], ((i, f"text {i:06}") for i in range(rows)))
+        found = p.profile_excel(path)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.rows == rows and (found["a"].type, found["a"].least, found["a"].most) == ("bigint", 0, rows - 1)
+        assert (found["b"].distinct, found["b"].most, found["b"].mean_chars) == (rows, f"text {rows - 1:06}", 11)
+        return held
+
+    most(10)
+    assert most(12_000) < 2 * most(3_000)
+    # wider rows below have names as in the reader; a column's values of two types are text
+    excel.write_sheet(str(tmp_path / "w.xlsx"), ["a", "b"], [(1, "x"), (None, None), (2.5, 7, True), (3, None, False)])
+    found = p.profile_excel(str(tmp_path / "w.xlsx"))
+    assert found.rows == 3 and [(c.name, c.type, c.nulls, c.distinct) for c in found.columns] == [("a", "double", 0, 3), ("b", "string", 1, 2), ("column_3", "boolean", 1, 2)]
+    assert excel.read_sheet(str(tmp_path / "w.xlsx")) == (["a", "b", "column_3"], [(1.0, "x", None), (2.5, "7", True), (3.0, None, False)])
+
+
+def test_profiled_sources_are_never_held_whole(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tarnwell import semantics
+
+    def refused(self, *args, **kwargs):
+        raise AssertionError("all rows went to the driver")
+
+    with monkeypatch.context() as m:
+        for name in ("collect", "toPandas", "toArrow"):
+            m.setattr(DataFrame, name, refused)
+        found = semantics.profile_sources(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert rows(found) == sorted((k, n, True) for k in ("csv", "excel", "json", "parquet", "sqlite"))
+
+
 def test_csv_is_split_unless_fields_have_newlines(spark, tmp_path, monkeypatch):
     from tarnwell.sources import readers
 
