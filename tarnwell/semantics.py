@@ -663,12 +663,12 @@ def profile_sources(spark, sf_dir):
             records = [r.asDict() for r in batch]
             j.writelines(json.dumps(r) + "\n" for r in records)
             p.write_table(pa.Table.from_pylist(records, schema))
-    made["csv"] = profile.profile_csv(places["csv"])
-    made["json"] = profile.profile_json(places["json"])
+    made["csv"] = profile.profile_csv(places["csv"], whole=True)
+    made["json"] = profile.profile_json(places["json"], whole=True)
     path = _local("x.xlsx")
     lower(n.write_excel(n.dataframe(people), path), Context(spark))
     made["excel"] = profile.profile_excel(path)
-    made["sqlite"] = profile.profile_sqlite(_database(spark, sf_dir), "people")
+    made["sqlite"] = profile.profile_sqlite(_database(spark, sf_dir), "people", whole=True)
     made["parquet"] = profile.profile_parquet(places["parquet"])
     return _rows(spark, [(k, p.rows, p.exact) for k, p in made.items()], "source string, n bigint, exact boolean")
 

@@ -534,6 +534,39 @@ def test_profiled_sources_are_never_held_whole(spark, monkeypatch):
     assert rows(found) == sorted((k, n, True) for k in ("csv", "excel", "json", "parquet", "sqlite"))
 
 
+def test_whole_profiles_do_not_depend_on_size(spark, tmp_path, monkeypatch):
+    import json
+    import sqlite3
+
+    from tarnwell import profile as p
+    from tarnwell import semantics
+
+    text = "a,b\n" + "".join(f'{i},"two\nlines ""{i % 50}"""\n' if i % 3 else f"{i},\n" for i in range(2000))
+    (tmp_path / "x.csv").write_text(text)
+    (tmp_path / "x.json").write_text("".join(f'{{"a": {i}}}\n' if i < 1500 else f'{{"a": {i}, "late": "{i}"}}\n' for i in range(2000)))
+    (tmp_path / "array.json").write_text(json.dumps([{"a": i} for i in range(2000)]))
+    db = sqlite3.connect(tmp_path / "x.db")
+    db.execute("CREATE TABLE t (a INTEGER)")
+    db.executemany("INSERT INTO t VALUES (?)", [(i,) for i in range(2000)])
+    db.execute("CREATE INDEX i ON t (a)")
+    db.execute("ANALYZE")
+    db.execute("INSERT INTO t VALUES (2000)")
+    db.commit()
+    db.close()
+    made = lambda: [p.profile_csv(str(tmp_path / "x.csv"), whole=True), p.profile_json(str(tmp_path / "x.json"), whole=True), p.profile_json(str(tmp_path / "array.json"), whole=True), p.profile_sqlite(str(tmp_path / "x.db"), "t", whole=True)]
+    small = made()
+    for name, value in (("SAMPLE_BYTES", 3000), ("SAMPLE_ROWS", 10), ("BATCH_ROWS", 7)):
+        monkeypatch.setattr(p, name, value)
+    assert made() == small and all(f.exact for f in small) and [f.rows for f in small] == [2000, 2000, 2000, 2001]
+    csv, lines, _, table_ = small
+    assert (csv["a"].type, csv["a"].most, csv["a"].distinct) == ("bigint", 1999, 2000)
+    assert (csv["b"].nulls, csv["b"].distinct, csv["b"].mean_chars) == (667, 50, sum(12 + len(str(i % 50)) for i in range(2000) if i % 3) / 1333)
+    assert (lines["late"].nulls, lines["late"].type, lines["late"].least) == (1500, "bigint", 1500) and table_["a"].most == 2000
+    monkeypatch.setattr(p, "KEPT_HASHES", 1000)
+    assert abs(p.profile_csv(str(tmp_path / "x.csv"), whole=True)["a"].distinct - 2000) < 200
+    assert all(r[2] for r in rows(semantics.profile_sources(spark, "/root/testdata/sf0.001")))
+
+
 def test_csv_is_split_unless_fields_have_newlines(spark, tmp_path, monkeypatch):
     from tarnwell.sources import readers
 
